@@ -133,13 +133,17 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfi
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
         pdf = pdf.assign(_k=pd.util.hash_array(pdf["doc_id"].to_numpy()), text=pdf["text"].fillna(""))
         pdf = pdf.sort_values(["_k", "doc_id", "text"])
         w, threshold = train(pdf["text"].tolist(), pdf["_y"].astype(int).tolist(), config)
-        return pd.DataFrame({"w": [w.tobytes()], "threshold": [threshold]})
+        yield pd.DataFrame({"w": [w.tobytes()], "threshold": [threshold]})
 
-    got = sample.groupBy(F.lit(1)).applyInPandas(learn, "w binary, threshold double").collect()
+    got = sample.repartition(1).mapInPandas(learn, "w binary, threshold double").collect()
     if not got:
         return np.zeros((1 << config.bits) + 1, np.float32), 0.0
     return np.frombuffer(bytes(got[0].w), np.float32), got[0].threshold
