@@ -130,6 +130,13 @@ class Tokens:
         at = np.flatnonzero(whole)
         return mix((prefix[at + size] - prefix[at]) * down[at]), at
 
+    def span_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of the tokens [a, b) of each pair of bounds; that of windows() where they are as long."""
+        up, down = powers(WORD_BASE, len(self.hash) + 1)
+        prefix = np.zeros(len(self.hash) + 1, np.uint64)
+        np.cumsum(self.hash * up[: len(self.hash)], out=prefix[1:])
+        return mix((prefix[b] - prefix[a]) * down[a])
+
     def left(self) -> np.ndarray:
         """Tokens from each token to the end of its row, itself included."""
         return np.repeat(self.first[1:], self.count) - np.arange(len(self.hash))
