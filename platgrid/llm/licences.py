@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import textcore as tc
 from .common import table
 
-UNIT = 48
+UNIT = 24
 BITS = 14
 LEAST_ANCHORS = 2
 LEAST_SHARE = 0.6
@@ -192,7 +192,7 @@ class Model:
                     if k % 4 == 2:
                         own = ["Copyright", "(c)", str(rng.integers(1990, 2030)), *prose(rng.integers(1, 4)), *own]
                     if k % 4 == 3:
-                        own = [*prose(rng.integers(0, 9)), *own, *prose(rng.integers(0, 9))]
+                        own = [*prose(rng.integers(0, 14)), *own, *prose(rng.integers(0, 14))]
                     texts.append(" ".join(own))
                     labels.append(c)
         for k in range(len(texts)):
