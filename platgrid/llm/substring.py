@@ -13,7 +13,8 @@ A place whose neighbourhood is known is a candidate with the known place.  Where
 windows of LEAST_WORDS words around their first places find the other candidates, so nothing depends on which place
 happens to be first.  Every candidate is verified by comparing the words, and widened as far as they agree.
 
-Defined results: a row is a maximal run of equal words in doc_id and an earlier source_doc, [start_word, end_word) in words of doc_id.
+Defined results: a row is a run of equal words in doc_id and an earlier source_doc, [start_word, end_word) in words of doc_id; together the
+rows of a document cover exactly the words that stand in some such passage.
 Null, empty and shorter texts hold no passage; rows of null doc_id are left out.  Of repeated rows of one doc_id one counts;
 equal texts under several ids give a passage each.  Repeats inside one document do not count.  Very long texts are
 handled whole; extra columns are ignored, and empty tables give empty results.
@@ -42,6 +43,11 @@ BUCKETS = 48
 FANOUT = 2
 BATCHES = 4
 
+_SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
+_UNSCRAMBLE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes of text that leave a task at once.
+FLUSH_BYTES = 4 << 20
+
 
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
@@ -53,11 +59,11 @@ def winnow(t: tc.Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, at = t.windows(WINDOW)
     if len(h) < SPAN:
         return none, none, np.zeros(0, np.int64)
-    # the least hash wins, of equals the last; 24 bits for the place are enough for texts of 16 million words
+    # the least hash wins, of equals the least scrambled place: so text that repeats itself keeps no more windows than other text
     bits = np.uint64(max(24, int(len(h)).bit_length()))
     place = np.arange(len(h), dtype=np.uint64)
     top = (np.uint64(1) << bits) - np.uint64(1)
-    x = (h >> bits << bits) | (top - place)
+    x = (h >> bits << bits) | (place * _SCRAMBLE & top)
     size, m = 1, x
     while size * 2 <= SPAN:
         m = np.minimum(m[:-size], m[size:])
@@ -65,7 +71,7 @@ def winnow(t: tc.Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if size < SPAN:
         m = np.minimum(m[: len(x) - SPAN + 1], m[SPAN - size : SPAN - size + len(x) - SPAN + 1])
     whole = t.left()[at[: len(m)]] >= LEAST_WORDS
-    kept = np.unique((top - (m[whole] & top)).astype(np.int64))
+    kept = np.unique(((m[whole] & top) * _UNSCRAMBLE & top).astype(np.int64))
     first = at[kept]
     row = np.searchsorted(t.first, first, "right") - 1
     lo = np.maximum(first - (SPAN - 1), t.first[row])
@@ -184,19 +190,28 @@ def _verified(found: DataFrame, texts: DataFrame) -> DataFrame:
             lower = pc.utf8_lower(b.column("text"))
             data, offsets = tc.buffers(lower)
             want = b.column("want")
+            kinds = (b.column("doc_id").type, b.column("doc_id").type, pa.int32(), pa.int32(), pa.binary())
+
+            def flush(out: list[list]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["doc_id", "src", "shift", "low", "piece"])
+
+            out: list[list] = [[], [], [], [], []]
+            held = 0
             for a, e, t in tc.tokenised(lower):
                 own = data[offsets[a] : offsets[e]]
-                out: list[list] = [[], [], [], [], []]
                 for r in range(a, e):
                     f, n = int(t.first[r - a]), int(t.count[r - a])
                     for w in want[r].as_py():
-                        # as far on as a run can reach that holds no further candidate: words of both sides are compared
+                        # as far on as a run can reach that holds no further candidate
                         lo, hi = max(0, w["low"] - margin), min(n, w["high"] + LEAST_WORDS + margin)
                         piece = own[t.start[f + lo] : t.end[f + hi - 1]].tobytes()
                         for o, v in zip(out, (w["doc_id"], b.column("doc_id")[r].as_py(), w["shift"], lo, piece)):
                             o.append(v)
-                kinds = (b.column("doc_id").type, b.column("doc_id").type, pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], names=["doc_id", "src", "shift", "low", "piece"])
+                        held += len(piece)
+                        if held > FLUSH_BYTES:
+                            yield flush(out)
+                            out, held = [[], [], [], [], []], 0
+            yield flush(out)
 
     pieces = texts.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(slices, f"doc_id {id_type}, src {id_type}, shift int, low int, piece binary")
     per_doc = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("src", "shift", "low", "piece")).alias("pieces"))
