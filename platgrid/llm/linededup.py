@@ -203,7 +203,8 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTE
     firsts = distinct.select("h1", "h2", "first")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct().join(firsts, "h1")
     wanted = wanted.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line", "h1", "h2")).alias("want"))
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # both uses of rows ask for the same columns and filter, so that one shuffle of the texts serves both
+    rows = docs.where("doc_id is not null").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     at = docs.columns.index("text")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +282,9 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_B
     fields = [*docs.schema.fields, *([T.StructField("lines_removed", T.LongType())] if count else [])]
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
     joined = rows.join(drops, "doc_id", "left").select("row", "drop")
-    return joined.mapInArrow(strip, schema).toDF(*[f.name for f in fields])
+    out = joined.mapInArrow(strip, schema).toDF(*[f.name for f in fields])
+    nameless = docs.where("doc_id is null")
+    return out.union(nameless.withColumn("lines_removed", F.lit(0).cast("bigint")) if count else nameless)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
