@@ -12,7 +12,7 @@ are verified with bit-parallel edit distance in a band of 2 * THRESHOLD + 1 diag
 Defined results: rows always stay, with the lines that are left; a null text stays null, an empty one empty.  Rows of null
 doc_id are neither searched nor changed.  Repeated rows of one doc_id and text are one document.  Lines of
 equal 128-bit hash count as equal.  n_chars, if there, becomes the length of the new text; all other columns are
-carried through, whatever they are called.  Lines are cut at line feeds alone.  Empty tables give empty results.
+carried through, whatever they are called (lines_removed is replaced, if asked for).  Lines are cut at line feeds alone.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,6 +186,18 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTE
             for a, x in _chunked(b.column("text"), least):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(x.row + a)), pa.array(x.number.astype(np.int32)), _signed(x.h1), _signed(x.second_hash())], names=["doc_id", "line", "h1", "h2"])
 
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, x in _chunked(b.column("text"), least):
+                doc = b.column("doc_id").take(pa.array(x.row + a))
+                h2 = x.second_hash()
+                order = np.lexsort((x.number, pc.rank(doc, tiebreaker="dense").to_numpy(), h2, x.h1))  # first doc and line in front
+                h1, h2 = x.h1[order], h2[order]
+                new = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])) if len(h1) else order
+                count = np.diff(np.append(new, len(h1)))
+                at = order[new]
+                yield pa.RecordBatch.from_arrays([_signed(h1[new]), _signed(h2[new]), doc.take(pa.array(at)), pa.array(x.number[at].astype(np.int32)), pa.array(count.astype(np.int64))], names=["h1", "h2", "doc_id", "line", "n"])
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, x in _chunked(b.column("text"), least):
@@ -196,7 +209,10 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTE
                 yield pa.RecordBatch.from_arrays([_signed(key), _signed(x.h1[np.concatenate([il, pl])]), pa.array(probe)], names=["key", "h1", "probe"])
 
     occ = texts.mapInArrow(occurrences, T.StructType([kind, T.StructField("line", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
-    distinct = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
+    # a line that stands everywhere is counted once for each chunk before it moves; the exchange by h1 alone serves all joins below,
+    # in which "^ ... = 0" compares the second hashes without making them part of the join's key
+    per_chunk = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), kind, T.StructField("line", T.IntegerType()), T.StructField("n", T.LongType())])
+    distinct = texts.mapInArrow(combined, per_chunk).repartition("h1").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.sum("n").alias("n"))
     both = texts.mapInArrow(keys, "key bigint, h1 bigint, probe boolean")
     index, probe = both.where("not probe").select("key", F.col("h1").alias("a")), both.where("probe").select("key", F.col("h1").alias("b"))
     pairs = index.join(probe, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -237,16 +253,18 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTE
             later = np.asarray(b.column("a_first"))
             h1 = np.where(later, b.column("b").to_numpy(), b.column("a").to_numpy())
             h2 = np.where(later, b.column("b2").to_numpy(), b.column("a2").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(h1[ok]), pa.array(h2[ok])], names=["h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1[ok]), pa.array(h2[ok])], names=["l1", "l2"])
 
-    later = met.mapInArrow(verify, "h1 bigint, h2 bigint").distinct().withColumn("later", F.lit(True))
-    verdict = distinct.join(later, ["h1", "h2"], "left").where("n > 1 or later")
-    gone = occ.join(verdict, ["h1", "h2"]).where("later or first <> struct(doc_id, line)")
+    later = met.mapInArrow(verify, "l1 bigint, l2 bigint").distinct().withColumn("later", F.lit(True))
+    verdict = distinct.join(later, F.expr("h1 = l1 and (h2 ^ l2) = 0"), "left").where("n > 1 or later")
+    verdict = verdict.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), "first", "later")
+    gone = occ.join(verdict, F.expr("h1 = v1 and (h2 ^ v2) = 0")).where("later or first <> struct(doc_id, line)")
     return rows, gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h1")).alias("drop"))
 
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTES, count: bool = False) -> DataFrame:
     """docs without the lines that an earlier line nearly equals; with count, also lines_removed."""
+    docs = docs.drop("lines_removed") if count else docs
     rows, drops = dropped(docs, threshold, least)
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
