@@ -324,12 +324,12 @@ for _name, _key, _rev, _order in (
     ("sort_reverse", "r.rev,t", True, "tn DESC NULLS FIRST, rn ASC NULLS LAST, pos DESC"),
 ):
     # the rank in each desc_no's list, and in the whole list by way of a sorted write
-    query(_name, f"{_L} SELECT pos, trs, row_number() OVER (ORDER BY {_order})::INTEGER AS rank FROM (SELECT *, {_NUM} FROM l)")(
+    query(_name, f"{_L} SELECT pos, trs, row_number() OVER (ORDER BY {_order}) AS rank FROM (SELECT *, {_NUM} FROM l)")(
         lambda spark, sf_dir, key=_key, rev=_rev: tail.with_rank(_list(spark, sf_dir), key, rev).select("pos", "trs", "rank")
     )
 
 
-@query("sort_within_description", f"{_L} SELECT pos, trs, row_number() OVER (PARTITION BY desc_no ORDER BY tn ASC NULLS LAST, rn ASC NULLS LAST, sn ASC NULLS LAST, pos)::INTEGER AS rank FROM (SELECT *, {_NUM} FROM l)")
+@query("sort_within_description", f"{_L} SELECT pos, trs, row_number() OVER (PARTITION BY desc_no ORDER BY tn ASC NULLS LAST, rn ASC NULLS LAST, sn ASC NULLS LAST, pos) AS rank FROM (SELECT *, {_NUM} FROM l)")
 def sort_within_description(spark, sf_dir):
     return tail.with_rank(_list(spark, sf_dir), by=["desc_no"]).select("pos", "trs", "rank")
 

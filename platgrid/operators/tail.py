@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import simplify_aliquots, sorted_lots
 from ..functions.trs import is_error, is_undef, pretty_twprge, trs_fields
+from ..plans.storage import cut
 
 POS = "pos"
 
@@ -97,9 +98,20 @@ def custom_sort(df: DataFrame, key: str | Column | list = "i,s,r,t", reverse: bo
 
 
 def with_rank(df: DataFrame, key: str = "i,s,r,t", reverse: bool = False, pos: str = POS, by: list[str] | None = None) -> DataFrame:
-    """df with `rank`, the place of each row in the sorted list; by: of each list of equal values."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return df.withColumn("rank", F.row_number().over(w.orderBy(*sort_columns(key, reverse, pos))))
+    """df with `rank`, the place of each row in the sorted list; by: of each list of equal values.
+
+    Without `by` the whole table is one list: it is sorted by ranges, and each range learns how many rows stand before it,
+    so no task holds more than its range."""
+    columns = sort_columns(key, reverse, pos)
+    if by:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*columns)).cast("bigint"))
+    # an id has the number of the range above bit 33, and counts from 0 inside it; it must not be worked out twice
+    placed = cut(df.orderBy(*columns).withColumn("_id", F.monotonically_increasing_id()))
+    ranges = placed.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    # a row for each range of the sort is what is broadcast
+    out = placed.withColumn("_range", F.shiftright("_id", 33)).join(F.broadcast(before), "_range")
+    return out.withColumn("rank", (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("_id", "_range", "_before")
 
 
 def first_rows(df: DataFrame, n: int, pos: str = POS) -> DataFrame:
