@@ -458,6 +458,43 @@ def report(spark, sf_dir):
     return tail.report(_list(spark, sf_dir), "trs", "desc")
 
 
+@query("list_insert_remove", f"{_L} SELECT CASE WHEN pos >= 5 THEN pos + 1 ELSE pos END AS pos, trs FROM l WHERE pos <> 9 UNION ALL SELECT 5, trs FROM l WHERE pos = 9")
+def list_insert_remove(spark, sf_dir):
+    """The tenth row moves to the sixth place; behind it places close up and open again."""
+    d = _list(spark, sf_dir).select("pos", "trs")
+    gone, rest = tail.remove(d, 9)
+    moved = tail.insert(rest, gone.withColumn("pos", F.lit(0).cast("bigint")), 5, 1)
+    # the SQL leaves the gap of the row that moved
+    return moved.withColumn("pos", F.when(F.col("pos") > 9, F.col("pos") + 1).otherwise(F.col("pos")))
+
+
+@query("json_rows", f"""{_L} SELECT '{{"trs":"' || trs || '","desc":"' || "desc" || '"}}' AS json FROM l""")
+def json_rows(spark, sf_dir):
+    return tail.to_json_rows(_list(spark, sf_dir), "trs", "desc")
+
+
+@query("sorted_lots", f"{_D} SELECT k, 'L' || s || ',L' || (s + 1) || ',L' || (s + 40) AS lots, s || ',' || (s + 1) || ',' || (s + 40) AS numbers FROM d")
+def sorted_lots(spark, sf_dir):
+    p = _parts(spark, sf_dir, "Lot {s+40}, Lots {s} and {s+1}").withColumn("lots", tx.sorted_lots("lots"))
+    return p.select("k", F.array_join("lots", ",").alias("lots"), F.array_join(F.transform(tx.lot_numbers("lots"), lambda x: x.cast("string")), ",").alias("numbers"))
+
+
+@query("lots_aliquots", f"{_D} SELECT k, 'L' || s || ', N2, SE' AS parts FROM d")
+def lots_aliquots(spark, sf_dir):
+    p = parse.with_aliquots(_parts(spark, sf_dir, "SE/4, Lot {s}, NE/4, NW/4"))
+    return p.select("k", F.array_join("lots_aliquots", ", ").alias("parts"))
+
+
+@query("duplicate_flags", f"{_D} SELECT k, 'dup_lot<L' || s || '>,dup_qq<NENE>' AS flags FROM d")
+def duplicate_flags(spark, sf_dir):
+    return _parts(spark, sf_dir, "Lots {s} - {s+1}, Lot {s}, NE/4NE/4, NE/4NE/4").select("k", F.array_join("w_flags", ",").alias("flags"))
+
+
+@query("nonsequential_lots", f"{_D} SELECT k, 'L' || (s + 2) || ',L' || (s + 1) || ',L' || s AS lots, 'nonsequential_lots' AS flags FROM d")
+def nonsequential_lots(spark, sf_dir):
+    return _parts(spark, sf_dir, "Lots {s+2} - {s}").select("k", F.array_join("lots", ",").alias("lots"), F.array_join("w_flags", ",").alias("flags"))
+
+
 @query("sql_table_functions", f"{_D} SELECT k, i AS orig_index, {_TRS} AS twprge, {_SEC.format('s + i')} AS sec FROM d, (SELECT unnest(range(3))::INTEGER AS i)")
 def sql_table_functions(spark, sf_dir):
     parse.register(spark)

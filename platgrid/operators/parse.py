@@ -30,6 +30,8 @@ def tracts(descriptions: DataFrame, options: Options = Options(), text_col: str
         F.transform("_p.e_flag_lines", lambda x: x["flag"]).alias("e_flags"),
         F.col("_p.w_flag_lines").alias("w_flag_lines"),
         F.col("_p.e_flag_lines").alias("e_flag_lines"),
+        F.concat(F.transform("_p.e_flag_lines", lambda x: x["flag"]), F.transform("_p.w_flag_lines", lambda x: x["flag"])).alias("flags"),
+        F.concat("_p.e_flag_lines", "_p.w_flag_lines").alias("flag_lines"),
         (F.size("_p.e_flag_lines") > 0).alias("desc_is_flawed"),
     )
     return tract_parts(out, options, "desc", config_col) if options.parse_qq else out
@@ -48,6 +50,9 @@ def tract_parts(rows: DataFrame, options: Options = Options(), desc_col: str = "
     }
     flags = F.transform("_q.w_flag_lines", lambda x: x["flag"])
     new["w_flags"] = F.concat("w_flags", flags) if "w_flags" in rows.columns else flags
+    if "flags" in rows.columns:  # errors stand first, so warnings of the tract come last
+        new["flags"] = F.concat("flags", flags)
+        new["flag_lines"] = F.concat("flag_lines", "_q.w_flag_lines")
     new["w_flag_lines"] = F.concat("w_flag_lines", "_q.w_flag_lines") if "w_flag_lines" in rows.columns else F.col("_q.w_flag_lines")
     return p.withColumns(new).drop("_q")
 

@@ -216,6 +216,34 @@ def same_list(a: DataFrame, b: DataFrame, pos: str = POS) -> bool:
     return a.select(pos, F.col("trs").alias("_a")).join(b, pos, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).isEmpty()
 
 
+def insert(df: DataFrame, other: DataFrame, at: int, size: int, pos: str = POS) -> DataFrame:
+    """df with the rows of other, size of them, before place at."""
+    moved = df.withColumn(pos, F.when(F.col(pos) >= at, F.col(pos) + size).otherwise(F.col(pos)))
+    return moved.unionByName(other.withColumn(pos, F.col(pos) + at), allowMissingColumns=True)
+
+
+def remove(df: DataFrame, at: int, pos: str = POS) -> tuple[DataFrame, DataFrame]:
+    """(the row at that place, the rest, which closes up)."""
+    rest = df.where(F.col(pos) != at).withColumn(pos, F.when(F.col(pos) > at, F.col(pos) - 1).otherwise(F.col(pos)))
+    return df.where(F.col(pos) == at), rest
+
+
+def reverse_rows(df: DataFrame, size: int, pos: str = POS) -> DataFrame:
+    """The list of that size from its end to its beginning."""
+    return df.withColumn(pos, size - 1 - F.col(pos))
+
+
+def iter_rows(df: DataFrame, *names: str, pos: str = POS):
+    """Dicts of the attributes of each row, in order, a range at a time."""
+    for r in df.orderBy(pos).select(*[attribute(df, n).alias(n) for n in names]).toLocalIterator():
+        yield r.asDict()
+
+
+def to_json_rows(df: DataFrame, *names: str) -> DataFrame:
+    """`json` of the attributes of each row, instead of its columns."""
+    return df.select(F.to_json(F.struct(*[attribute(df, n).alias(n) for n in names])).alias("json"))
+
+
 def list_trs(df: DataFrame, remove_duplicates: bool = False, pos: str = POS) -> DataFrame:
     """(trs, pos); without duplicates in order of the first."""
     return df.groupBy("trs").agg(F.min(pos).alias(pos)) if remove_duplicates else df.select("trs", pos)

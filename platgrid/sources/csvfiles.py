@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,9 +72,11 @@ def csv_rows(df: DataFrame, names: list[str], nice: bool | dict | list = False,
     return d.select(gen_uid(F.col(uid[0]), F.col("_sub"), F.col("_total")), *cells.values()).toDF("UID", *heads)
 
 
-def write_csv(df: DataFrame, path: str, names: list[str], mode: str = "w", **how) -> None:
-    """Writes csv_rows to a folder, in as many files as there are partitions; mode a adds to what is there."""
-    csv_rows(df, names, **how).write.mode("append" if mode == "a" else "overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, names: list[str], mode: str = "w", **how) -> int:
+    """Writes csv_rows to a folder, in as many files as there are partitions, and gives their number; mode a adds to what is there."""
+    seen = Observation()
+    csv_rows(df, names, **how).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append" if mode == "a" else "overwrite").csv(path, header=True)
+    return seen.get["n"]
 
 
 def parse_csv(spark: SparkSession, path: str, desc_col: str, options: Options = Options(), config_col: str | None = None, tract_level: bool = False, trs_col: str = "trs", **read) -> DataFrame:

@@ -106,6 +106,11 @@ def test_lists(spark):
     assert [r.trs for r in tail.list_trs(both, True).orderBy("pos").collect()] == ["1n1w01", "1n1w02", "3n3w03"]
     assert sorted(order(tail.repeat(a, 2, 2))) == [0, 1, 2, 3] and order(tail.slice_rows(both, 1, 3)) == [1, 2] and tail.repeat(a, 0, 2).count() == 0
     assert tail.project(a, "trs", "owner").first() == ("1n1w01", "owner: n/a")
+    assert [r.trs for r in tail.insert(a, b, 1, 2).orderBy("pos").collect()] == ["1n1w01", "1n1w02", "3n3w03", "1n1w02"]
+    gone, rest = tail.remove(both, 1)
+    assert gone.first().trs == "1n1w02" and order(rest.orderBy("pos")) == [0, 1, 2]
+    assert [r["trs"] for r in tail.iter_rows(tail.reverse_rows(both, 4), "trs")] == ["3n3w03", "1n1w02", "1n1w02", "1n1w01"]
+    assert tail.to_json_rows(a, "trs", "lots").first().json == '{"trs":"1n1w01","lots":["L0"]}'
     p = tail.pretty_desc(both).orderBy("run").collect()
     assert [(r.heading, r.body) for r in p] == [("T1N-R1W", "Sec 01: d0\nSec 02: d1\nSec 02: d0"), ("T3N-R3W", "Sec 03: d1")]
     assert tail.report(a, "trs", "desc").first().report == "trs  : 1n1w01\ndesc : d0"
@@ -119,7 +124,7 @@ def test_csv_round_trip(spark, tmp_path):
     back = spark.read.csv(str(tmp_path / "out"), header=True).orderBy("UID").collect()
     assert back[0].asDict() == {"UID": "0001.a-a", "Twp/Rge/Sec": "7n9w01", "Lots": "L1, L2", "Lot Acreages": None, "owner": "Smith", "w_flag_lines": None, "note": "x"}
     assert [r.UID for r in back] == ["0001.a-a", "0002.a-b", "0002.b-b"]
-    csvfiles.write_csv(got, str(tmp_path / "out"), ["trs"], mode="a")
+    assert csvfiles.write_csv(got, str(tmp_path / "out"), ["trs"], mode="a") == 3
     assert csvfiles.headers(["trs", "zz"], {"trs": "A"}) == ["A", "zz"] and csvfiles.headers(["trs", "zz"], ["A"]) == ["A", "zz"]
     assert column(spark, [1, 26, 27, 702], lambda c: csvfiles.num_to_alpha(F.col(c)), "int") == ["A", "Z", "AA", "ZZ"]
     assert column(spark, ["A", "Z", "AA", "ZZ", "AAA"], lambda c: csvfiles.alpha_to_num(F.col(c))) == [1, 26, 27, 702, None]
