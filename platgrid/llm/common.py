@@ -35,8 +35,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
+    """df written as Parquet to the shared folder and read again; it stays there until forget()."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes what stored() wrote in this process. Call it once results are written: a result may still read such files."""
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

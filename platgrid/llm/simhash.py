@@ -30,8 +30,8 @@ WORDS = 4
 BITS = 64 * WORDS
 #: Greatest Hamming distance of near copies, of BITS.
 RADIUS = 56
-#: Fingerprints in a tile at most; and the least number of tiles, for parallel work.
-TILE_ROWS = 32768
+#: Fingerprints in a tile at most (8 MB; the fewer tiles, the less often each one moves); and the least number of tiles, for parallel work.
+TILE_ROWS = 262144
 LEAST_TILES = 16
 #: Rows and columns of a block that is compared at once, to stay in the processor's cache.
 BLOCK = (16, 4096)

@@ -264,12 +264,12 @@ def _equal(a: np.ndarray, t: tc.Tokens, p: int, b: np.ndarray, u: tc.Tokens, q:
     return np.array_equal(a[np.repeat(t.start[p : p + n], la) + ramp], b[np.repeat(u.start[q : q + n], la) + ramp])
 
 
-def passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def passages(docs: DataFrame, batches: int = BATCHES, buckets: int = BUCKETS) -> DataFrame:
     """Passages (doc_id, start_word, end_word, source_doc, source_start); docs come in batches of doc_id ranges."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     ends = texts.agg(F.min("doc_id"), F.max("doc_id")).first()
-    index = FingerprintIndex(spark)
+    index = FingerprintIndex(spark, buckets)
     if ends[0] is None:
         return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start_word int, end_word int, source_doc {docs.schema['doc_id'].dataType.simpleString()}, source_start int")
     cut = [ends[0] + (ends[1] + 1 - ends[0]) * k // batches for k in range(batches + 1)]
