@@ -25,12 +25,12 @@ EXACT = re.compile(rf"{_AT}(?:{_T}{_GAP})?(?P<t>{_N}){_GAP}{_NS}{_WIDE}{_RANGE}{
 _NEITHER = re.compile(rf"{_AT}{_T}{_GAP}(?P<t>{_N}){_ONE}{_R}{_GAP}(?P<r1>{_N}){_NO_EW}", I)
 _NO_NS = re.compile(rf"{_AT}{_T}{_GAP}(?P<t>{_N}){_ONE}(?:{_R}{_GAP}(?P<r1>{_N})|(?P<r2>{_N})){_GAP}{_EW}", I)
 _NO_EW_RE = re.compile(rf"{_AT}(?:{_T}{_GAP})?(?P<t>{_N}){_GAP}{_NS}{_WIDE}{_R}{_GAP}(?P<r1>{_N}){_NO_EW}", I)
-_D = r"[0-9SOIl\]|]{1,3}"
-_OCR = re.compile(rf"(?<![A-Za-z0-9])(?:(?i:{_T}){_GAP})(?P<t>{_D})(?![A-Za-z0-9]){_GAP}(?i:{_NS}){_WIDE}(?i:{_R}){_GAP}(?P<r1>{_D})(?![A-Za-z0-9]){_GAP}(?i:{_EW})")
+_D = r"[0-9SOILl\]|]{1,3}"
+_OCR = re.compile(rf"(?<![A-Za-z0-9])(?:(?i:t(?:[0o]wn[s5]h[i1l]ps?|wps?|wn|ps?)?\.?){_GAP})(?P<t>{_D}){_GAP}(?i:{_NS}){_WIDE}(?i:{_R.replace('(?![a-z])', '')}){_GAP}(?P<r1>{_D}){_GAP}(?i:{_EW})")
 CANON = re.compile(r"T(\d{1,3})([NS])-R(\d{1,3})([EW])(?![A-Za-z0-9])")
 _PM = re.compile(r"(?P<tr>T\d{1,3}[NS]-R\d{1,3}[EW])\s*[^\n]{0,25}?(?:of\s+the\s+)?[^\n]{0,25}?(?:\bp\.?\s?m\b\.?|princip[ale]{1,3}\s+merid[ia]{1,2}[an]{1,2}\b)", I)
-_PUNCT = re.compile(r"(T\d{1,3}[NS]-R\d{1,3}[EW])[\s,;:.]+")
-_SEC_WORD = r"(?:se(?:c(?:t(?:i?oi?ns?|ins?|on|io)?|ions?)?|tions?)s?\.?|§+)"
+_PUNCT = re.compile(r"(T\d{1,3}[NS]-R\d{1,3}[EW])(?:[\s,;:.]|(?<=\s)[\-–—]+(?=[\s,;:.]|$))+")
+_SEC_WORD = r"(?:se(?:c(?:t(?:i?oi?ns?|ins?|on|io)?|ito?i?o?ns?|ions?)?|tions?)s?\.?|§+)"
 _JOIN = r"(?:\s*(?:[/.,;:\-–—&]|(?:through|thru|to|and)(?![a-z])|th(?![a-z]))\s*)+"
 SECTION = re.compile(rf"{_SEC_WORD}[\s:.\-–—]*(?P<first>{_N})(?P<more>(?:{_JOIN}(?:{_SEC_WORD}[\s:.\-–—]*)?{_N}(?![/½¼\d]))*)(?P<colon>\s*:)?", I)
 _SEC_ONLY = re.compile(_SEC_WORD + r"[\s:.\-–—]*\d", I)
@@ -280,7 +280,8 @@ _QUARTER = r"(?P<{0}>n(?:orth)?\.?\s?e(?:ast)?|n(?:orth)?\.?\s?w(?:est)?|s(?:out
 _END = r"(?=[\s,.;½¼)]|[NSEW]|$)"
 _Q_FULL = re.compile(r"(?<![A-Za-z])" + _QUARTER.format("q") + rf"(?:\s*(?:(?:one\s+)?quarter(?![a-z])|1\s?/\s?4{_END}|¼)|(?:4|\s?/4|\s/\s4){_END})", I)
 _H_FULL = re.compile(rf"(?<![A-Za-z])(?P<h>north|south|east|west|no(?=\.?\s*(?:half|1/2|½))|[nsew])\.?(?:\s*(?:(?:one\s+)?half(?![a-z])|1\s?/\s?2{_END}|½)|(?:2|\s?/2|\s/\s2)(?!\s?°){_END})", I)
-_BARE_AFTER_HALF = re.compile(r"(?<=½)(?P<chain>(?:\s*(?:of\s+(?:the\s+)?)?(?:NE|NW|SE|SW))+)(?=[\s.,;]|$|[NSEW]{1,2}[½¼])", I)
+_BARE_Q = r"(?:NE|NW|SE|SW|north\s?east|north\s?west|south\s?east|south\s?west)"
+_BARE_AFTER_HALF = re.compile(rf"(?<=½)(?P<chain>(?:\s*(?:of\s+(?:the\s+)?)?{_BARE_Q})+)(?=[\s.,;]|$|[NSEW]{{1,2}}[½¼])", I)
 _BARE = re.compile(r"(?<![A-Za-z])(?P<chain>(?:NE|NW|SE|SW)+)(?![A-Za-z¼½])(?:\s?/\s?4|4)?", I)
 _GLUE = re.compile(r"(?<=[½¼])\s*(?:of|if)?\s*(?:the|teh|th)?\s*(?=(?:NE|NW|SE|SW)¼|[NSEW]½)", I)
 _ALIQUOT = r"(?:(?:NE|NW|SE|SW)¼|[NSEW]½)+"
@@ -304,7 +305,7 @@ def scrub(text: str, clean_qq: bool = False) -> str:
     if clean_qq:
         text = re.sub(r"(?<=½)(?:NE|NW|SE|SW)+(?![A-Za-z¼½])", lambda m: re.sub("..", lambda q: q[0].upper() + "¼", m[0]), text, flags=I)
         text = _BARE.sub(lambda m: re.sub("..", lambda q: q[0].upper() + "¼", m["chain"]), text)
-    text = _BARE_AFTER_HALF.sub(lambda m: re.sub(r"\s*(?:of\s+(?:the\s+)?)?(NE|NW|SE|SW)", lambda q: q[1].upper() + "¼", m["chain"], flags=I), text)
+    text = _BARE_AFTER_HALF.sub(lambda m: re.sub(rf"\s*(?:of\s+(?:the\s+)?)?({_BARE_Q})", lambda q: letters(q[1]) + "¼", m["chain"], flags=I), text)
     return _GLUE.sub("", text)
 
 

@@ -177,3 +177,32 @@ def test_options():
         Options(default_ns="x")
     with pytest.raises(DefaultEWError):
         Options(default_ew="x")
+
+
+@pytest.mark.parametrize("text", ["t12nr34w", "T-12-N-R-34-W", "Twp. 12 N., Rge. 34 W.", "12-N-R-34", "12 N., Rge. 34", "T-12-R-34", "T-12-34-W", "Township 12, 34 West", "T-12-N-R-34-W-6-PM", "12N-34W-6 P.M.", "T12N-R34W, Sixth Principal Meridian", "Township 12 North, Range 34 West ---- ,", "t12nr34w  :, ", "T-12-N-R-34-W  -", "Twnshp 12 N, Rng 34 W"])
+def test_more_spellings(text):
+    assert grammar.preprocess(text, O)[0].strip() == "T12N-R34W"
+
+
+@pytest.mark.parametrize("text", ["TISlN-RIL0W", "Township ISl North, Range IL0 West", "T0wnship ISl North, Range IL0 West", "T0wn5h1p ISl North, Range IL0 West", "Twp. ISl N., Rge. IL0 W.", "T-ISl-N-R-IL0-W"])
+def test_more_ocr(text):
+    assert grammar.preprocess(text, Options(ocr_scrub=True))[0] == "T151N-R110W"
+
+
+def test_range_two_needs_its_word():
+    assert grammar.find_twprge("3N-2W") == [] and grammar.find_twprge("3N-R2W") == ["T3N-R2W"] == grammar.find_twprge("T3N, Range 2 West")
+
+
+@pytest.mark.parametrize("text, want", [("Seciton 4", "4"), ("Sect. 4", "4"), ("§4", "4"), ("Sec: 4", "4"), ("Secs 4 and", "4"), ("Sections: 4,", "4"), ("Seciton 4 through 6", "4 5 6"), ("Sections 4 and 6 to 8", "4 6 7 8"), ("Sec. 4, 5, and 7 - 8", "4 5 7 8"), ("Sect. 4 and Section 6 to 7", "4 6 7"), ("§4-§6", "4 5 6"), ("Sec. 4, 5 - 6, and 9", "4 5 6 9"), ("§4 & §9", "4 9")])
+def test_more_sections(text, want):
+    assert [str(int(s)) for s in grammar.find_sec(text)] == want.split()
+
+
+@pytest.mark.parametrize("text, want", [("N½ NE", "N½NE¼"), ("N½ of the NE", "N½NE¼"), ("S½N½ of NE", "S½N½NE¼"), ("N½ Northeast", "N½NE¼"), ("N½ of the Southwest of the Northeast", "N½SW¼NE¼"), ("N½ Nebraska", "N½ Nebraska")])
+def test_half_and_bare_quarters(text, want):
+    assert grammar.scrub(text) == want
+
+
+@pytest.mark.parametrize("text, lots", [("L. 1", "L1"), ("Lot 1 - Lot 3", "L1 L2 L3"), ("Lots 1, 2 and 4", "L1 L2 L4"), ("Lot 1 [2.5], Lot 2(3.25)", "L1 L2"), ("L1, L2", "L1 L2"), ("Lots 1 thru 3, and 7", "L1 L2 L3 L7"), ("Pilot 3", "")])
+def test_more_lots(text, lots):
+    assert tract(text)["lots"] == lots.split()
