@@ -54,6 +54,18 @@ def test_stages_on_empty_and_awkward_tables(spark, tmp_path):
         assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
 
 
+def test_stored_tables_can_be_removed(spark):
+    import os
+
+    from platgrid.llm import common
+
+    df = common.stored(spark.range(3), "test")
+    paths = list(common._stored)
+    assert df.count() == 3 and all(os.path.isdir(x) for x in paths)
+    common.forget(spark)
+    assert not any(os.path.exists(x) for x in paths) and common._stored == []
+
+
 def test_registered():
     import __spark_entry__ as e
 
