@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that nearly equal an earlier line go; the documents stay."""
-    return line_dedup(docs)
+    """Lines that nearly equal an earlier line go, short ones if they equal it; the documents stay."""
+    return line_dedup(docs, short=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

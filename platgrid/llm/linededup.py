@@ -2,7 +2,8 @@
 
 Of lines that are within THRESHOLD edits of each other (over UTF-8 bytes; equal lines included) the first one in order of
 (doc_id, line number) stays; a line goes from wherever it stands if an earlier line is within
-THRESHOLD edits of it.  Lines of fewer than LEAST_BYTES bytes are left alone.
+THRESHOLD edits of it.  Lines of fewer than LEAST_BYTES bytes are left alone, or, with `short`, go if an earlier line equals
+them; empty lines always stay.  The edit join has lines of LEAST_BYTES bytes at least in either case.
 
 Every distinct line is cut into THRESHOLD + 1 segments; two lines within the threshold share a segment at
 nearly the same place.  Segments are index entries under (length, segment number, hash); each line probes the entries of its own and
@@ -176,19 +177,20 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def dropped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
+def dropped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTES, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, drops): the rows of docs as (doc_id, row), and the lines that go as (doc_id, drop list of (line, h1))."""
     kind = docs.schema["doc_id"]
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    counted = 1 if short else least
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, x in _chunked(b.column("text"), least):
+            for a, x in _chunked(b.column("text"), counted):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(x.row + a)), pa.array(x.number.astype(np.int32)), _signed(x.h1), _signed(x.second_hash())], names=["doc_id", "line", "h1", "h2"])
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, x in _chunked(b.column("text"), least):
+            for a, x in _chunked(b.column("text"), counted):
                 doc = b.column("doc_id").take(pa.array(x.row + a))
                 h2 = x.second_hash()
                 order = np.lexsort((x.number, pc.rank(doc, tiebreaker="dense").to_numpy(), h2, x.h1))  # first doc and line in front
@@ -262,10 +264,10 @@ def dropped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTE
     return rows, gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h1")).alias("drop"))
 
 
-def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTES, count: bool = False) -> DataFrame:
-    """docs without the lines that an earlier line nearly equals; with count, also lines_removed."""
+def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTES, count: bool = False, short: bool = False) -> DataFrame:
+    """docs without the lines that an earlier line nearly equals; with count, also lines_removed; with short, exact repeats of shorter lines go too."""
     docs = docs.drop("lines_removed") if count else docs
-    rows, drops = dropped(docs, threshold, least)
+    rows, drops = dropped(docs, threshold, least, short)
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -280,7 +282,7 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_B
             hit = [r for r, d in enumerate(drop) if d and text[r] is not None]
             part = pa.array([text[r] for r in hit], pa.large_string())
             have: dict[int, dict[int, int]] = {}
-            for a, x in _chunked(part, least):
+            for a, x in _chunked(part, 1 if short else least):
                 for r, k, h in zip(x.row.tolist(), x.number.tolist(), x.h1.view(np.int64).tolist()):
                     have.setdefault(r + a, {})[k] = h
             for i, r in enumerate(hit):

@@ -215,6 +215,34 @@ def test_line_dedup_awkward(spark):
     assert linededup.line_dedup(empty(spark), count=True).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    rows = near_lines(random.Random(16), 40) + [(100 + i, "Les.\n\nLes\n" + "é" * (i % 3) + "\nAll rights reserved.\n\n ", "a") for i in range(5)]
+    seen, want = set(), []
+    for (i, t, _), (_, kept, _) in zip(rows, line_dedup_brute(rows)):
+        left, out = kept.split("\n"), []
+        for line in t.split("\n"):
+            n = len(line.encode())
+            if n >= linededup.LEAST_BYTES:
+                stays = left[:1] == [line]
+            else:
+                stays = n == 0 or line not in seen
+                seen.add(line)
+            if left[:1] == [line]:
+                left.pop(0)
+            if stays:
+                out.append(line)
+        want.append((i, "\n".join(out), len(t.split("\n")) - len(out)))
+    got = linededup.line_dedup(table(spark, rows, True), count=True, short=True).collect()
+    assert sorted((r.doc_id, r.text, r.lines_removed) for r in got) == want
+
+
+def test_pipeline_lines_lose_short_repeats(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Les.\nAll rights reserved.", "a"), (2, "Les.\nmore\nAll rights reserved.", "a")]
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.lines(spark, table(spark, rows), "").collect()) == [(1, rows[0][1]), (2, "more")]
+
+
 # 5
 
 
