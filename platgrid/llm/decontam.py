@@ -7,8 +7,8 @@ window is looked up in a shift table; a shift above 0 skips as many positions as
 occurrence, a shift of 0 selects a hash bucket of the test strings by their last bytes, whose candidates are
 compared byte by byte.  Cursors for many stretches of a batch advance together, one numpy step for all.
 
-Defined results: null and empty texts hold nothing; items that are null, empty or too short are not
-searched for; the same text in several items reports each of them.  A document is reported once per item
+Defined results: null and empty texts hold nothing; texts that are null, empty or too short are not
+searched for, and those of null item_id by `decontaminate` alone, as a report names the item; the same text in several items reports each of them.  A document is reported once per item
 with the number of its test strings that occur and the byte position (in the compared form) of the first.
 Rows of null doc_id are searched as well.  Repeated rows of one doc_id are reported as often as they stand.
 Extra columns pass through `decontaminate` unchanged.  An empty benchmark or table reports nothing.
@@ -196,7 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_wor
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs without the rows that hold a test string; decided row by row, in one pass without a shuffle."""
-    items = [r.text for r in benchmark.select("text").where("item_id is not null and text is not null").collect()]
+    items = [r.text for r in benchmark.select("text").where("text is not null").collect()]
     strings = test_strings(items, window, least_words)
     if not strings:
         return docs

@@ -296,6 +296,14 @@ def test_decontamination_awkward(spark):
     assert decontam.leaks(empty(spark), bench).count() == 0 and decontam.decontaminate(df, bench.limit(0)).count() == df.count()
 
 
+def test_decontamination_searches_items_without_id(spark):
+    text = prose(random.Random(70), 20)
+    docs = table(spark, [(1, "before " + text + " after", "a"), (2, "clean", "a")])
+    bench = spark.createDataFrame([(None, text)], "item_id bigint, text string")
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [2]
+    assert decontam.leaks(docs, bench).count() == 0
+
+
 # 6
 
 
