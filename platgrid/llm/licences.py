@@ -1,14 +1,14 @@
 """License scans: a trained paragraph classifier names licence families; template comparison confirms.
 
 A paragraph is a line; of a line of more than UNIT words every stretch of UNIT words, half overlapping, is judged, and the
-best one counts.  Features are hashed runs of one to three words.  The classifier is multinomial logistic
+best one of each family counts: a confirmed one before others, then the more probable one.  Features are hashed runs of one to three words.  The classifier is multinomial logistic
 regression over the families and the class `unknown`, trained on variations of the templates and on prose, notices and shuffled words that are
 no licence; a held-out part sets the temperature that calibrates its probabilities and the least probability of a
 family, below which a paragraph is unknown.  A stretch with fewer than LEAST_ANCHORS words that are typical of some template is
 unknown without further work.  A prediction is confirmed if the stretch has LEAST_SHARE of the pairs of neighbouring words of a template of
 that family, or if that share of the stretch's own pairs come from it.
 
-Defined results: a row for each line with a known family: doc_id, line, family, probability, template similarity, confirmed.
+Defined results: a row for each line and each known family found in it: doc_id, line, family, probability, template similarity, confirmed.
 Null and empty texts give nothing; rows of null doc_id are scanned and reported with null.  Repeated rows are
 reported as often as they stand.  Of equal probabilities the earlier stretch counts.  Extra columns are ignored; empty tables give an empty result.
 """
@@ -258,7 +258,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def scan_column(column: pa.Array, m: Model | None = None) -> Iterator[tuple[int, int, str, float, float]]:
-    """(row, line, family, probability, similarity) of all lines with a known family."""
+    """(row, line, family, probability, similarity) of all lines and each known family in them."""
     m = m or model()
     data, offsets = tc.buffers(pc.utf8_lower(column))
     for a, e in tc.chunks(offsets):
@@ -274,13 +274,16 @@ def scan_column(column: pa.Array, m: Model | None = None) -> Iterator[tuple[int,
         k = np.arange(len(line)) - np.repeat(np.cumsum(units) - units, units)
         start = t.first[line] + k * (UNIT // 2)
         stop = np.minimum(start + UNIT, t.first[line + 1])
-        best: dict[int, tuple[float, int, float]] = {}
+        best: dict[tuple[int, int], tuple[bool, float, float]] = {}
         for u in np.flatnonzero(upto[stop] - upto[start] >= LEAST_ANCHORS).tolist():
             h = t.hash[start[u] : stop[u]]
             family, p = m.judge(h)
-            if family < len(FAMILIES) - 1 and p > best.get(line[u], (0.0,))[0]:
-                best[line[u]] = (p, family, m.similarity(h, family))
-        for i, (p, family, s) in sorted(best.items()):
+            if family < len(FAMILIES) - 1:
+                s = m.similarity(h, family)
+                have = best.get((line[u], family))
+                if have is None or (round(s, 6) >= LEAST_SHARE, p) > have[:2]:
+                    best[line[u], family] = (round(s, 6) >= LEAST_SHARE, p, s)
+        for (i, family), (_, p, s) in sorted(best.items()):
             yield int(row[i]) + a, int(number[i]), FAMILIES[family], round(p, 6), round(s, 6)
 
 

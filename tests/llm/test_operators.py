@@ -114,6 +114,25 @@ def test_licences_brute_force(spark):
     assert {(r.doc_id, r.line, r.family) for r in licences.scan(table(spark, rows)).collect()} == want
 
 
+def test_licences_two_notices_in_one_line(spark):
+    rng = random.Random(4)
+    notices = [licences.TEMPLATES["MIT"][1], licences.TEMPLATES["GPL"][3]]
+    rows = [(i, " ".join([prose(rng, 30), notices[i % 2], prose(rng, 3000), notices[1 - i % 2], prose(rng, 40)]), "a") for i in range(4)]
+    m, want = licences.model(), []
+    for i, t, _ in rows:
+        h, best = licences._tokens(t).hash, {}
+        for k in range(0, len(h) - licences.UNIT + licences.UNIT // 2, licences.UNIT // 2):
+            own = h[k : k + licences.UNIT]
+            family, p = m.judge(own)
+            if np.isin(own, m.anchors).sum() >= licences.LEAST_ANCHORS and family < len(licences.FAMILIES) - 1:
+                s = m.similarity(own, family)
+                best.setdefault(licences.FAMILIES[family], []).append((s >= licences.LEAST_SHARE, round(p, 6), round(s, 6)))
+        want += [(i, 0, f, p, s, c) for f, (c, p, s) in ((f, max(v, key=lambda x: x[:2])) for f, v in best.items())]
+    got = licences.scan(table(spark, rows)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert all({("MIT", True), ("GPL", True)} <= {(r.family, r.confirmed) for r in got if r.doc_id == i} for i, *_ in rows)
+
+
 def test_licences_awkward(spark):
     assert licences.scan(awkward(spark)).count() == 0
     assert licences.scan(empty(spark)).count() == 0
