@@ -5,7 +5,8 @@ Documents are shuffled within their source (by the md5 of doc_id) and their word
 frac(i * 0.618...), as 32-bit integer, which the cumulative weights of the sources map to a source.  The k-th slot of a source
 takes its block k modulo the number of its blocks, so a source that is wanted more often than it has
 blocks starts another epoch, and of any prefix of the schedule each source has its share but for a few slots.
-There are as many slots as blocks.
+There are as many slots as blocks.  So of a source's n blocks max(0, n - its slots) are not used, its slots being the share of its weight in all
+slots: of a source with half of all words among 20 about 63 %, with the default weights.
 
 Weights default to the square root of a source's words, rounded down.  Running sums over a hot source are taken in two levels
 (over ranges of the shuffle, then inside each range), so no task sorts a whole source.
