@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that this session's plans send to Python, so that long texts take no more memory than short ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
@@ -46,8 +57,17 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Removes what stored() wrote in this process. Call it once results are written: a result may still read such files."""
-    while _stored:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+def kept() -> int:
+    """How many tables stored() has written in this process and forget() has left."""
+    return len(_stored)
+
+
+def forget(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Removes what stored() wrote in this process from the table of number `since` on, but for the last `but` ones.
+
+    Call it once results are written: a result may still read such files."""
+    gone = _stored[since : len(_stored) - but]
+    del _stored[since : len(_stored) - but]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

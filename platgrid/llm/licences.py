@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import table
+from .common import small_batches, table
 
 UNIT = 24
 BITS = 14
@@ -289,6 +289,7 @@ def scan_column(column: pa.Array, m: Model | None = None) -> Iterator[tuple[int,
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, line, family, probability, similarity, confirmed); one pass without a shuffle."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"]
     held = docs.sparkSession.sparkContext.broadcast(model())  # 1 MB whatever the input
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import table
+from .common import small_batches, table
 
 THRESHOLD = 2
 LEAST_BYTES = 24
@@ -179,6 +179,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def dropped(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_BYTES, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, drops): the rows of docs as (doc_id, row), and the lines that go as (doc_id, drop list of (line, h1))."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"]
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     counted = 1 if short else least

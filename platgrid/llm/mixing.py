@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
 BLOCK = 1024
 SEED = "mix-1"
@@ -108,6 +108,7 @@ def schedule(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
     """(slot, source, block, epoch, n_tokens, doc_ids, text) of the whole schedule."""
+    small_batches(docs.sparkSession)
     b, sizes = blocks(docs, block)
     sizes = sizes.withColumn("weight", _weight(weights))
     plan = schedule(sizes).join(sizes.select("s", "s0", "blocks"), ["s", "s0"])

@@ -21,9 +21,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textcore as tc
+from .common import small_batches, table
 
 #: The place of every pair of equal words.
 REPEAT = np.uint64(0x5851F42D4C957F2D)
@@ -122,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfi
     """Trains on at most config.train_rows labelled documents, in one executor task; the driver gets the weights.
 
     Only the sample's texts are shuffled.  Its ids are bounded by train_rows, and so is their broadcast."""
+    small_batches(docs.sparkSession)
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id")
@@ -157,22 +158,24 @@ def score_column(column: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray
     return out
 
 
-def classify(docs: DataFrame, weights: np.ndarray, threshold: float, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """docs with quality_score (probability of good) and quality_keep; one pass, no shuffle."""
-    docs = docs.drop("quality_score", "quality_keep")
-    names = docs.columns
-    held = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB whatever the input
-    bits, at = config.bits, names.index("text")
+def scores(spark: SparkSession, weights: np.ndarray, bits: int):
+    """The column function that gives a text's probability of being good; only texts go to Python."""
+    held = spark.sparkContext.broadcast(weights)  # 1 MB whatever the input
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            score = np.round(score_column(b.column(at), held.value, bits), 6)
-            empty = np.asarray(pa.compute.fill_null(pa.compute.equal(pa.compute.utf8_length(b.column(at)), 0), True))
-            keep = (score >= threshold) | empty
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array(keep)], names=[*names, "quality_score", "quality_keep"])
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array(np.round(score_column(column, held.value, bits), 6))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_keep", T.BooleanType())])
-    return docs.mapInArrow(run, schema)
+    # else a filter on the score is pushed below it, and texts are scored twice
+    return F.arrow_udf(run, "double").asNondeterministic()
+
+
+def classify(docs: DataFrame, weights: np.ndarray, threshold: float, config: QualityConfig = QualityConfig()) -> DataFrame:
+    """docs with quality_score (probability of good) and quality_keep; one pass, no shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    empty = F.coalesce(F.col("text"), F.lit("")) == ""
+    docs = docs.drop("quality_score", "quality_keep").withColumn("quality_score", scores(spark, weights, config.bits)(F.col("text")))
+    return docs.withColumn("quality_keep", (F.col("quality_score") >= threshold) | empty)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
@@ -181,8 +184,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, config: QualityConfig = Q
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
     docs = table(spark, sf_dir, "documents")
     w, threshold = fit(docs, table(spark, sf_dir, "labels"))
     return classify(docs.select("doc_id", "text"), w, threshold).drop("text")

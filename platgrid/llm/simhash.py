@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import checkpoint, stored, table
+from .common import checkpoint, small_batches, stored, table
 
 WORDS = 4
 BITS = 64 * WORDS
@@ -148,6 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the least doc_id of its group."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
 

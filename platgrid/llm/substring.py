@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .common import shared_dir, stored, table
+from .common import shared_dir, small_batches, stored, table
 
 LEAST_WORDS = 50
 WINDOW = 25
@@ -266,6 +266,7 @@ def _equal(a: np.ndarray, t: tc.Tokens, p: int, b: np.ndarray, u: tc.Tokens, q:
 
 def passages(docs: DataFrame, batches: int = BATCHES, buckets: int = BUCKETS) -> DataFrame:
     """Passages (doc_id, start_word, end_word, source_doc, source_start); docs come in batches of doc_id ranges."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").where("doc_id is not null")
     ends = texts.agg(F.min("doc_id"), F.max("doc_id")).first()

@@ -43,7 +43,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
             down[0] = 1
             have = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-        if n <= 16 * CHUNK_BYTES:
+        if n <= 2 * CHUNK_BYTES:  # longer texts are rare, and their powers should not stay in memory
             _powers[base] = have
     return have
 

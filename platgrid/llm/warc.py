@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 RECORD = "record_id string, origin_id string, type string, uri string, number int, total_length bigint, declared bigint, payload binary"
 PAGE = "origin_id string, uri string, segments int, total_length bigint, status string, http_status int, chunked boolean, body binary"
@@ -144,6 +144,7 @@ def join_segments(segments: list[dict]) -> dict:
 
 def reassemble(warc: DataFrame) -> DataFrame:
     """PAGE rows, one for each origin; one shuffle of the payloads, by origin identifier."""
+    small_batches(warc.sparkSession)
     records = parse_records(warc)
     names = ["type", "uri", "number", "total_length", "declared", "payload"]
     grouped = records.groupBy("origin_id").agg(F.collect_list(F.struct(*names)).alias("segments"))

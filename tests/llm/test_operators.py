@@ -315,6 +315,25 @@ def test_decontamination_awkward(spark):
     assert decontam.leaks(empty(spark), bench).count() == 0 and decontam.decontaminate(df, bench.limit(0)).count() == df.count()
 
 
+def test_decontamination_short_items(spark):
+    docs = table(spark, [(1, "Say, yes! and go", "a"), (2, "yesterday", "a"), (3, "is the\tmoon, far?", "a"), (4, "the moon", "a"), (5, "it is é", "a"), (6, None, "a")])
+    bench = spark.createDataFrame([(1, "Yes"), (2, "the moon far"), (3, "É"), (4, "?!"), (5, ""), (6, prose(random.Random(1), 30))], "item_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id, r.first_at) for r in decontam.leaks(docs, bench).collect()) == [(1, 1, 4), (3, 2, 3), (5, 3, 6)]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect()) == [2, 4, 6]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench, least_words=3).collect()) == [1, 2, 4, 5, 6]
+
+
+def test_decontamination_in_parts(spark, monkeypatch):
+    rng = random.Random(12)
+    bench = [(k % 7, prose(rng, rng.choice([3, 20, 40]))) for k in range(12)] + [(None, prose(rng, 20))]
+    rows = [(i, prose(rng, 20) + "\n" + (rng.choice(bench)[1] if i % 3 else "") + " " + prose(rng, 9), "a") for i in range(40)]
+    docs, bench = table(spark, rows, True), spark.createDataFrame(bench, "item_id bigint, text string")
+    key = lambda d: sorted(map(tuple, d.collect()), key=str)
+    whole = key(decontam.leaks(docs, bench)), key(decontam.decontaminate(docs, bench))
+    monkeypatch.setattr(decontam, "PART_BYTES", 300)
+    assert whole[0] and (key(decontam.leaks(docs, bench)), key(decontam.decontaminate(docs, bench))) == whole
+
+
 def test_decontamination_searches_items_without_id(spark):
     text = prose(random.Random(70), 20)
     docs = table(spark, [(1, "before " + text + " after", "a"), (2, "clean", "a")])
