@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platgrid.llm.common import stored, table
+from platgrid.llm.common import forget, kept, stored, table
 from platgrid.llm.decontam import decontaminate
 from platgrid.llm.linededup import line_dedup
 from platgrid.llm.mixing import mix
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The result's table stays in the shared folder; what earlier stages wrote is removed once the next one has ended."""
+    docs, before = table(spark, sf_dir, "documents"), kept()
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        forget(spark, before, but=1)
     return docs
