@@ -42,7 +42,8 @@ _SEC = "lpad(CAST({0} AS VARCHAR), 2, '0')"
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
-    return k.selectExpr(*_KEYS.split(", "))
+    # only keys move; the texts made of them are worth more cores than a small file gives
+    return parse.spread(k).selectExpr(*_KEYS.split(", "))
 
 
 def texts(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:

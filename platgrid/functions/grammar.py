@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from ..plans.options import ERROR_SEC, Options
+from ..plans.options import ERROR_RGE, ERROR_SEC, ERROR_TWP, Options
 from .aliquots import expand
 
 I = re.IGNORECASE
@@ -60,6 +60,15 @@ def short(natural: str) -> str:
     return natural.replace("T", "").replace("-R", "").lower()
 
 
+_PARTS = re.compile(r"(\d{1,3}[ns])(\d{1,3}[ew])$")
+
+
+def parts(twprge: str, sec: str) -> tuple[str, str, str]:
+    """Township, range and section of a tract; beside an erroneous Twp/Rge, and above 99, the section is erroneous."""
+    m = _PARTS.match(twprge)
+    return (m[1], m[2], sec if len(sec) == 2 else ERROR_SEC) if m else (ERROR_TWP, ERROR_RGE, ERROR_SEC)
+
+
 def natural(short_form: str) -> str:
     """154n97w to T154N-R97W."""
     return re.sub(r"^(\d+)([ns])(\d+)([ew])$", lambda m: f"T{m[1]}{m[2].upper()}-R{m[3]}{m[4].upper()}", short_form)
@@ -125,7 +134,7 @@ def sections_of(m: re.Match) -> tuple[list[str], bool]:
 
 
 def find_sec(text: str) -> list[str]:
-    """All section numbers of a text, with two digits, ranges written out."""
+    """All section numbers of a text, with two digits at least, ranges written out."""
     return [s for m in SECTION.finditer(text) for s in sections_of(m)[0]]
 
 
@@ -208,6 +217,7 @@ def parse_description(text: str, o: Options) -> dict:
     tracts = [(tr, s, desc) for tr, secs, desc in parts for s in secs]
     if any("X" in tr for tr, _, _ in tracts):
         e.append(("twprge_error", ",".join(tr + s for tr, s, _ in tracts if "X" in tr)))
+    e += [(f"sec_error<{tr}{s}>", desc) for tr, s, desc in tracts if len(s) > 2]
     return {"text": text, "layout": layout, "tracts": tracts, "w": w, "e": e}
 
 
@@ -287,7 +297,9 @@ _GLUE = re.compile(r"(?<=[½¼])\s*(?:of|if)?\s*(?:the|teh|th)?\s*(?=(?:NE|NW|SE
 _ALIQUOT = r"(?:(?:NE|NW|SE|SW)¼|[NSEW]½)+"
 _ACRES = r"(?:\s*[(\[]\s*\d{1,3}(?:\.\d{0,6})?\s*[)\]])?"
 _LOT_WORD = r"L(?:ot|t)?s?\.?\s*"
-_LOTS = re.compile(rf"(?:(?P<aliquot>{_ALIQUOT})\s*(?:of\s+(?:the\s+)?)?)?(?<![A-Za-z0-9])(?P<lots>{_LOT_WORD}{_N}{_ACRES}(?:{_JOIN}(?:{_LOT_WORD})?{_N}(?![/½¼\d]){_ACRES})*)", I)
+_LOT_LIST = rf"(?P<lots>{_LOT_WORD}{_N}{_ACRES}(?:{_JOIN}(?:{_LOT_WORD})?{_N}(?![/½¼\d]){_ACRES})*)"
+_LOTS = re.compile(rf"(?:(?P<aliquot>{_ALIQUOT})\s*(?:of\s+(?:the\s+)?)?)?(?<![A-Za-z0-9]){_LOT_LIST}", I)
+_LOTS_HERE = re.compile(rf"(?P<aliquot>(?!)x)?{_LOT_LIST}", I)
 _LOT_TOKEN = re.compile(rf"(?P<thru>[\-–—]|(?:through|thru|to|th)(?![a-z]))|(?P<word>L(?:ot|t)?s?\.?(?=\s*\d))|(?P<n>\d{{1,3}})(?:\s*[(\[]\s*(?P<ac>\d{{1,3}}(?:\.\d{{0,6}})?)\s*[)\]])?", I)
 _BLOCK = re.compile(_ALIQUOT)
 _ALL = re.compile(r"(?<![A-Za-z0-9])ALL(?P<context>.{1,6})?", I)
@@ -316,10 +328,12 @@ def _plain(aliquot: str) -> str:
 @lru_cache(16384)
 def parse_tract(text: str, clean_qq: bool, suppress_lot_divs: bool, least: int, most: int | None, break_halves: bool) -> dict:
     """Lots, aliquots, quarter-quarters, acreages and flags of one tract's text."""
-    pp = rest = scrub(text, clean_qq)
-    lots, acres, w = [], {}, []
-    while m := _LOTS.search(rest):
-        rest = rest[: m.start()] + ";;" + rest[m.end() :]
+    pp = scrub(text, clean_qq)
+    lots, acres, w, left, at = [], {}, [], [], 0
+    # a lot may stand right behind the one before it, where the pattern looks for no letter or digit in front
+    while m := _LOTS_HERE.match(pp, at) or _LOTS.search(pp, at):
+        left.append(pp[at : m.start()])
+        at = m.end()
         own, thru, words, through, odd = [], False, 0, None, False
         for t in _LOT_TOKEN.finditer(m["lots"]):
             if t["thru"]:
@@ -347,10 +361,9 @@ def parse_tract(text: str, clean_qq: bool, suppress_lot_divs: bool, least: int,
         through = len(own) if through is None else through
         lead = _plain(m["aliquot"]) if m["aliquot"] and not suppress_lot_divs else None
         lots += [f"{lead} of L{n}" if lead and k < through else f"L{n}" for k, n in enumerate(own)]
-    blocks = []
-    while m := _BLOCK.search(rest):
-        blocks.append(m[0])
-        rest = rest[: m.start()] + ";;" + rest[m.end() :]
+    rest = ";;".join([*left, pp[at:]])
+    blocks = _BLOCK.findall(rest)
+    rest = _BLOCK.sub(";;", rest)
     whole = [_plain(b) for b in blocks]
     m = _ALL.search(re.sub(r"\s+", " ", rest).strip())
     if m and m["context"] is None:

@@ -1,4 +1,7 @@
-"""The grammar as Arrow functions on columns: whole batches cross to Python, one call for each text."""
+"""The grammar as Arrow functions on columns: whole batches cross to Python, one call for each text.
+
+Spark copies a deterministic function into every filter that it pushes below a projection and so would call it twice; those that cost most are
+declared nondeterministic, but for lateral joins, which ask for deterministic ones."""
 
 from __future__ import annotations
 
@@ -10,10 +13,10 @@ from ..plans.options import Options
 from . import aliquots, grammar
 
 _LINE = "array<struct<flag:string,context:string>>"
-DESCRIPTION = f"struct<text:string,layout:string,tracts:array<struct<twprge:string,sec_found:string,desc:string>>,w_flag_lines:{_LINE},e_flag_lines:{_LINE}>"
+DESCRIPTION = f"struct<text:string,layout:string,tracts:array<struct<twp:string,rge:string,sec:string,sec_found:string,desc:string>>,w_flag_lines:{_LINE},e_flag_lines:{_LINE}>"
 PARTS = f"struct<pp_desc:string,lots:array<string>,qqs:array<string>,aliquots_whole:array<string>,lot_acres:map<string,string>,w_flag_lines:{_LINE}>"
 _A_LINE = pa.list_(pa.struct([("flag", pa.string()), ("context", pa.string())]))
-_A_DESCRIPTION = pa.struct([("text", pa.string()), ("layout", pa.string()), ("tracts", pa.list_(pa.struct([("twprge", pa.string()), ("sec_found", pa.string()), ("desc", pa.string())]))), ("w_flag_lines", _A_LINE), ("e_flag_lines", _A_LINE)])
+_A_DESCRIPTION = pa.struct([("text", pa.string()), ("layout", pa.string()), ("tracts", pa.list_(pa.struct([(n, pa.string()) for n in ("twp", "rge", "sec", "sec_found", "desc")]))), ("w_flag_lines", _A_LINE), ("e_flag_lines", _A_LINE)])
 _A_PARTS = pa.struct([("pp_desc", pa.string()), ("lots", pa.list_(pa.string())), ("qqs", pa.list_(pa.string())), ("aliquots_whole", pa.list_(pa.string())), ("lot_acres", pa.map_(pa.string(), pa.string())), ("w_flag_lines", _A_LINE)])
 
 
@@ -29,8 +32,8 @@ def _rows(text: pa.Array, config: pa.Array | None, options: Options):
         yield t, known[c]
 
 
-def parse_description(text: Column | str, options: Options = Options(), config: Column | str | None = None) -> Column:
-    """DESCRIPTION of each text; null stays null. config holds options for single rows, over the given ones."""
+def description_udf(options: Options, lateral: bool = False):
+    """The function of (text, config) behind parse_description."""
 
     def run(text: pa.Array, config: pa.Array) -> pa.Array:
         out = []
@@ -39,14 +42,20 @@ def parse_description(text: Column | str, options: Options = Options(), config:
                 out.append(None)
                 continue
             p = grammar.parse_description(t, o)
-            out.append({"text": p["text"], "layout": p["layout"], "tracts": [{"twprge": a, "sec_found": s, "desc": d} for a, s, d in p["tracts"]], "w_flag_lines": _lines(p["w"]), "e_flag_lines": _lines(p["e"])})
+            out.append({"text": p["text"], "layout": p["layout"], "tracts": [dict(zip(("twp", "rge", "sec", "sec_found", "desc"), (*grammar.parts(a, s), s, d))) for a, s, d in p["tracts"]], "w_flag_lines": _lines(p["w"]), "e_flag_lines": _lines(p["e"])})
         return pa.array(out, _A_DESCRIPTION)
 
-    return F.arrow_udf(run, DESCRIPTION)(text, F.lit(None).cast("string") if config is None else config)
+    f = F.arrow_udf(run, DESCRIPTION)
+    return f if lateral else f.asNondeterministic()
 
 
-def parse_tract(text: Column | str, options: Options = Options(), config: Column | str | None = None) -> Column:
-    """PARTS (lots, quarter-quarters, acreages) of each tract's text; null counts as empty."""
+def parse_description(text: Column | str, options: Options = Options(), config: Column | str | None = None) -> Column:
+    """DESCRIPTION of each text; null stays null. config holds options for single rows, over the given ones."""
+    return description_udf(options)(text, F.lit(None).cast("string") if config is None else config)
+
+
+def tract_udf(options: Options, lateral: bool = False):
+    """The function of (text, config) behind parse_tract."""
 
     def run(text: pa.Array, config: pa.Array) -> pa.Array:
         out = []
@@ -55,7 +64,13 @@ def parse_tract(text: Column | str, options: Options = Options(), config: Column
             out.append({"pp_desc": p["pp"], "lots": p["lots"], "qqs": p["qqs"], "aliquots_whole": p["whole"], "lot_acres": list(p["acres"].items()), "w_flag_lines": _lines(p["w"])})
         return pa.array(out, _A_PARTS)
 
-    return F.arrow_udf(run, PARTS)(text, F.lit(None).cast("string") if config is None else config)
+    f = F.arrow_udf(run, PARTS)
+    return f if lateral else f.asNondeterministic()
+
+
+def parse_tract(text: Column | str, options: Options = Options(), config: Column | str | None = None) -> Column:
+    """PARTS (lots, quarter-quarters, acreages) of each tract's text; null counts as empty."""
+    return tract_udf(options)(text, F.lit(None).cast("string") if config is None else config)
 
 
 def _text_udf(f, kind: str, arrow: pa.DataType):

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..plans.options import ERROR_RGE, ERROR_SEC, ERROR_TWP, UNDEF_RGE, UNDEF_SEC, UNDEF_TWP
 
-_TRS = r"([0-9]{1,3}[ns]|___z)([0-9]{1,3}[ew]|___z)([0-9]{2}|__)?"
+#: A section of three digits is no section: it is erroneous.
+_TRS = r"([0-9]{1,3}[ns]|___z)([0-9]{1,3}[ew]|___z)([0-9]{2}(?![0-9])|__)?"
 FIELDS = ("trs", "twp", "twp_num", "twp_ns", "twp_undef", "rge", "rge_num", "rge_ew", "rge_undef", "sec", "sec_num", "sec_undef")
 
 
@@ -26,11 +27,13 @@ def trs_fields(trs: Column | str) -> dict[str, Column]:
         own = F.regexp_extract(s, _TRS, k)
         return F.when(s == "", undef).when((whole == "") | (own == ""), error).otherwise(own)
 
-    def number(c: Column) -> Column:
-        return F.expr("try_cast('' as int)") if c is None else F.regexp_extract(c, r"^([0-9]+)", 1).try_cast("int")
+    return fields_of(part(1, UNDEF_TWP, ERROR_TWP), part(2, UNDEF_RGE, ERROR_RGE), part(3, UNDEF_SEC, ERROR_SEC))
 
-    twp, rge, sec = part(1, UNDEF_TWP, ERROR_TWP), part(2, UNDEF_RGE, ERROR_RGE), part(3, UNDEF_SEC, ERROR_SEC)
-    letter = lambda c: F.when(F.regexp_extract(c, r"^([0-9]+)", 1) != "", F.substring(c, -1, 1))
+
+def fields_of(twp: Column, rge: Column, sec: Column) -> dict[str, Column]:
+    """The twelve fields of parts that are valid, erroneous or undefined."""
+    number = lambda c: F.substring(c, 1, F.length(c) - 1).try_cast("int")
+    letter = lambda c: F.when(number(c).isNotNull(), F.substring(c, -1, 1))
     return {
         "trs": F.concat(twp, rge, sec),
         "twp": twp,
@@ -42,7 +45,7 @@ def trs_fields(trs: Column | str) -> dict[str, Column]:
         "rge_ew": letter(rge),
         "rge_undef": rge == UNDEF_RGE,
         "sec": sec,
-        "sec_num": number(sec),
+        "sec_num": sec.try_cast("int"),
         "sec_undef": sec == UNDEF_SEC,
     }
 

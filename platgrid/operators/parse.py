@@ -5,32 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grammar, text
-from ..functions.trs import trs_fields
+from ..functions import text
+from ..functions.trs import fields_of
 from ..plans.options import Options
 
 
-def tracts(descriptions: DataFrame, options: Options = Options(), text_col: str = "text", config_col: str | None = None) -> DataFrame:
-    """A row for each tract of each description, in order of orig_index; other columns of the description stay.
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, at least: to parse texts costs far more than to move them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
-    Descriptions without a text give no tract. With parse_qq, the columns of tract_parts are added."""
+
+def tracts(descriptions: DataFrame, options: Options = Options(), text_col: str = "text", config_col: str | None = None, orig_desc: bool = False) -> DataFrame:
+    """A row for each tract of each description, in order of orig_index; other columns of the description stay, as does a column source.
+
+    Descriptions without a text give no tract. With parse_qq, the columns of tract_parts are added, with orig_desc the description's text."""
     keep = [c for c in descriptions.columns if c != text_col]
     p = descriptions.where(F.col(text_col).isNotNull()).withColumn("_p", text.parse_description(text_col, options, config_col))
-    rows = p.select(*keep, "_p", F.posexplode("_p.tracts").alias("orig_index", "_t"))
-    fields = trs_fields(F.concat("_t.twprge", "_t.sec_found"))
+    rows = p.select(*keep, *([F.col(text_col).alias("orig_desc")] if orig_desc else []), "_p", F.posexplode("_p.tracts").alias("orig_index", "_t"))
+    fields = fields_of(F.col("_t.twp"), F.col("_t.rge"), F.col("_t.sec"))
+    flags = lambda name: F.col(f"_p.{name}_flag_lines.flag")
     out = rows.select(
         *keep,
+        *(["orig_desc"] if orig_desc else []),
         "orig_index",
         *[c.alias(n) for n, c in fields.items()],
-        F.concat(fields["twp"], fields["rge"]).alias("twprge"),
+        F.concat("_t.twp", "_t.rge").alias("twprge"),
         F.col("_t.sec_found").alias("sec_found"),
         F.col("_t.desc").alias("desc"),
         F.col("_p.layout").alias("layout"),
-        F.transform("_p.w_flag_lines", lambda x: x["flag"]).alias("w_flags"),
-        F.transform("_p.e_flag_lines", lambda x: x["flag"]).alias("e_flags"),
+        flags("w").alias("w_flags"),
+        flags("e").alias("e_flags"),
         F.col("_p.w_flag_lines").alias("w_flag_lines"),
         F.col("_p.e_flag_lines").alias("e_flag_lines"),
-        F.concat(F.transform("_p.e_flag_lines", lambda x: x["flag"]), F.transform("_p.w_flag_lines", lambda x: x["flag"])).alias("flags"),
+        F.concat(flags("e"), flags("w")).alias("flags"),
         F.concat("_p.e_flag_lines", "_p.w_flag_lines").alias("flag_lines"),
         (F.size("_p.e_flag_lines") > 0).alias("desc_is_flawed"),
     )
@@ -64,22 +72,18 @@ def with_aliquots(rows: DataFrame, assume_standard: bool = False) -> DataFrame:
 
 
 def register(spark: SparkSession, options: Options = Options()) -> None:
-    """Makes the SQL table functions plss_tracts(text, config) and tract_parts(text, config)."""
-
-    @F.udtf(returnType="orig_index int, twprge string, sec string, desc string, layout string")
-    class PlssTracts:
-        def eval(self, description: str, config: str):
-            if description is not None:
-                p = grammar.parse_description(description, Options.parse(config, options))
-                for k, (tr, sec, desc) in enumerate(p["tracts"]):
-                    yield k, tr, sec, desc, p["layout"]
+    """Makes the SQL table functions plss_tracts(text, config) and tract_parts(text, config).
 
-    @F.udtf(returnType="lots array<string>, qqs array<string>, lot_acres map<string,string>")
-    class TractParts:
-        def eval(self, description: str, config: str):
-            o = Options.parse(config, options)
-            p = grammar.parse_tract(description or "", o.clean_qq, o.suppress_lot_divs, *o.depths(), o.break_halves)
-            yield p["lots"], p["qqs"], p["acres"]
-
-    spark.udtf.register("plss_tracts", PlssTracts)
-    spark.udtf.register("tract_parts", TractParts)
+    They are queries over the Arrow functions, which stay under the names plss_description and plss_tract, so that a lateral join with them works on whole batches. OUTER keeps Spark from inferring a filter that would parse every text once more."""
+    spark.udf.register("plss_description", text.description_udf(options, lateral=True))
+    spark.udf.register("plss_tract", text.tract_udf(options, lateral=True))
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY FUNCTION plss_tracts(description STRING, config STRING)
+        RETURNS TABLE (orig_index INT, twprge STRING, sec STRING, desc STRING, layout STRING)
+        RETURN SELECT i, t.twp || t.rge, t.sec, t.desc, p.layout FROM (SELECT plss_description(description, config) AS p) LATERAL VIEW OUTER posexplode(p.tracts) x AS i, t WHERE i IS NOT NULL"""
+    )
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY FUNCTION tract_parts(description STRING, config STRING)
+        RETURNS TABLE (lots ARRAY<STRING>, qqs ARRAY<STRING>, lot_acres MAP<STRING, STRING>)
+        RETURN SELECT p.lots, p.qqs, p.lot_acres FROM (SELECT plss_tract(description, config) AS p)"""
+    )

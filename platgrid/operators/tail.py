@@ -63,12 +63,12 @@ def filter_duplicates(df: DataFrame, method: str = "trs", pos: str = POS) -> tup
 _KEY = re.compile(r"^(i|t|r|s)(?:\.(num|ns|sn|ew|we))?(?:\.(rev|reverse))?(.*)$")
 
 
-def sort_columns(key: str = "i,s,r,t", reverse: bool = False, pos: str = POS) -> list[Column]:
-    """Columns of one orderBy that equals stable sorts by each key in turn; the last key leads.
+def sort_keys(key: str = "i,s,r,t", reverse: bool = False, pos: str = POS) -> list[tuple[Column, bool]]:
+    """(column, whether it descends) of one orderBy that equals stable sorts by each key in turn; the last key leads.
 
     Erroneous and undefined numbers come last, in a reversed key first. reverse turns the whole order round."""
     f = trs_fields("trs")
-    out: list[Column] = []
+    out: list[tuple[Column, bool]] = []
     for item in (x.strip().lower() for x in key.split(",")):
         m = _KEY.match(item)
         if not m or m[2] in ("ns", "sn") and m[1] != "t" or m[2] in ("ew", "we") and m[1] != "r" or m[2] and m[1] == "i" and m[2] != "num":
@@ -84,17 +84,21 @@ def sort_columns(key: str = "i,s,r,t", reverse: bool = False, pos: str = POS) ->
                 c = F.when((f["twp_ns"] == "n") == (m[2] == "ns"), -c).otherwise(c)
             elif m[2] in ("ew", "we"):
                 c = F.when((f["rge_ew"] == "w") == (m[2] == "we"), -c).otherwise(c)
-        back = bool(m[3])
-        out.insert(0, c.desc_nulls_first() if back != reverse else c.asc_nulls_last())
-    return [*out, F.col(pos).desc() if reverse else F.col(pos).asc()]
+        out.insert(0, (c, bool(m[3]) != reverse))
+    return [*out, (F.col(pos), reverse)]
+
+
+def _projected(df: DataFrame, keys: list[tuple[Column, bool]]) -> tuple[DataFrame, list[Column], list[str]]:
+    """df with the keys as columns, what to order by, and the names of those columns: a sort works out its expressions anew for every comparison."""
+    names = [f"_key{k}" for k in range(len(keys))]
+    return df.withColumns({n: c for n, (c, _) in zip(names, keys)}), [F.col(n).desc_nulls_first() if back else F.col(n).asc_nulls_last() for n, (_, back) in zip(names, keys)], names
 
 
 def custom_sort(df: DataFrame, key: str | Column | list = "i,s,r,t", reverse: bool = False, pos: str = POS) -> DataFrame:
-    if isinstance(key, str):
-        return df.orderBy(*sort_columns(key, reverse, pos))
     keys = key if isinstance(key, list) else [key]
-    flat = [k for item in reversed(keys) for k in (sort_columns(item, reverse, pos)[:-1] if isinstance(item, str) else [item.desc() if reverse else item.asc()])]
-    return df.orderBy(*flat, F.col(pos).desc() if reverse else F.col(pos).asc())
+    flat = [k for item in reversed(keys) for k in (sort_keys(item, reverse, pos)[:-1] if isinstance(item, str) else [(item, reverse)])]
+    keyed, by, names = _projected(df, [*flat, (F.col(pos), reverse)])
+    return keyed.orderBy(*by).drop(*names)
 
 
 def with_rank(df: DataFrame, key: str = "i,s,r,t", reverse: bool = False, pos: str = POS, by: list[str] | None = None) -> DataFrame:
@@ -102,11 +106,11 @@ def with_rank(df: DataFrame, key: str = "i,s,r,t", reverse: bool = False, pos: s
 
     Without `by` the whole table is one list: it is sorted by ranges, and each range learns how many rows stand before it,
     so no task holds more than its range."""
-    columns = sort_columns(key, reverse, pos)
+    df, columns, names = _projected(df, sort_keys(key, reverse, pos))
     if by:
-        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*columns)).cast("bigint"))
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*columns)).cast("bigint")).drop(*names)
     # an id has the number of the range above bit 33, and counts from 0 inside it; it must not be worked out twice
-    placed = cut(df.orderBy(*columns).withColumn("_id", F.monotonically_increasing_id()))
+    placed = cut(df.orderBy(*columns).drop(*names).withColumn("_id", F.monotonically_increasing_id()))
     ranges = placed.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count("*").alias("_n"))
     before = ranges.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     # a row for each range of the sort is what is broadcast

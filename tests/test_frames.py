@@ -17,7 +17,7 @@ def column(spark, values, f, kind="string"):
 
 def test_trs(spark):
     got = column(spark, ["8n9w1", "154N97W01", None, "", "asdf", "154n97w", "154n97w145", "1154n97w14", "___z___z14", "XXXzXXXz14"], tr.trs_struct)
-    assert [g.trs for g in got] == ["8n9wXX", "154n97w01", "___z___z__", "___z___z__", "XXXzXXXzXX", "154n97wXX", "154n97w14", "154n97w14", "___z___z14", "XXXzXXXzXX"]
+    assert [g.trs for g in got] == ["8n9wXX", "154n97w01", "___z___z__", "___z___z__", "XXXzXXXzXX", "154n97wXX", "154n97wXX", "154n97w14", "___z___z14", "XXXzXXXzXX"]
     assert (got[1].twp_num, got[1].twp_ns, got[1].rge_num, got[1].rge_ew, got[1].sec_num) == (154, "n", 97, "w", 1)
     assert got[2].twp_undef and got[2].twp_num is None and not got[4].twp_undef and got[4].twp_ns is None
     assert column(spark, ["154n97w01", None, "x"], tr.is_error) == [False, False, True]
@@ -75,9 +75,9 @@ def test_sort(spark):
     assert order(tail.custom_sort(df, [F.col("desc"), "s"])) == order(tail.custom_sort(tail.with_rank(df, "s"), [F.col("desc"), "s"]))
     for bad in ("x", "s.ns", "t.ew", "r.sn"):
         with pytest.raises(ValueError):
-            tail.sort_columns(bad)
+            tail.sort_keys(bad)
     with pytest.warns(UserWarning):
-        tail.sort_columns("t.num junk")
+        tail.sort_keys("t.num junk")
 
 
 def test_filters_and_groups(spark):
@@ -150,3 +150,30 @@ def test_queries_plan_without_needless_shuffles(spark):
     df = spark.createDataFrame([(1, DESC)], "id int, text string")
     plan = parse.tracts(df, Options(parse_qq=True))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_every_text_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, DESC)], "id int, text string")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert plan(parse.tracts(df)).count("ArrowEvalPython") == 1
+    whole = parse.tracts(df, Options(parse_qq=True))
+    assert plan(whole.where("size(qqs) > 0 and trs is not null")).count("ArrowEvalPython") == 2
+    parse.register(spark)
+    df.createOrReplaceTempView("one_text")
+    assert plan(spark.sql("SELECT id, x.* FROM one_text, LATERAL plss_tracts(text, CAST(NULL AS STRING)) x WHERE x.sec > '01'")).count("ArrowEvalPython") == 1
+
+
+def test_sections_above_99_are_errors(spark):
+    df = spark.createDataFrame([("T7N-R9W Sec 145: NE/4, Sec 4: ALL",)], "text string")
+    got = parse.tracts(df, orig_desc=True).orderBy("orig_index").collect()
+    assert [(r.trs, r.sec_found, r.sec_num) for r in got] == [("7n9wXX", "145", None), ("7n9w04", "04", 4)]
+    assert got[0].e_flags == ["sec_error<7n9w145>"] and got[0].desc_is_flawed and got[1].orig_desc.startswith("T7N")
+
+
+def test_sort_keys_are_worked_out_once(spark):
+    import re
+
+    df = rows(spark, "2n1w03", "1s9e01")
+    for d in (tail.custom_sort(df, "s.rev,r.ew,t.ns"), tail.with_rank(df, "s.rev,t.ns", by=["desc"])):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert not any("regexp" in line for line in plan.split("\n") if re.match(r"\W*Sort ", line))
