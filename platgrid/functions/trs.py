@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.options import ERROR_RGE, ERROR_SEC, ERROR_TWP, UNDEF_RGE, UNDEF_SEC, UNDEF_TWP
 
 #: A section of three digits is no section: it is erroneous.
-_TRS = r"([0-9]{1,3}[ns]|___z)([0-9]{1,3}[ew]|___z)([0-9]{2}(?![0-9])|__)?"
+_TRS = r"(([0-9]{1,3})([ns])|___z)(([0-9]{1,3})([ew])|___z)(([0-9]{2})(?![0-9])|__)?"
 FIELDS = ("trs", "twp", "twp_num", "twp_ns", "twp_undef", "rge", "rge_num", "rge_ew", "rge_undef", "sec", "sec_num", "sec_undef")
 
 
@@ -20,32 +20,44 @@ def _column(c: Column | str) -> Column:
 
 def trs_fields(trs: Column | str) -> dict[str, Column]:
     """The twelve fields of a TRS string, by name; null and '' are undefined, other text that is no TRS is erroneous."""
-    s = F.lower(F.coalesce(_column(trs), F.lit("")))
-    whole = F.regexp_extract(s, _TRS, 0)
-
-    def part(k: int, undef: str, error: str) -> Column:
-        own = F.regexp_extract(s, _TRS, k)
-        return F.when(s == "", undef).when((whole == "") | (own == ""), error).otherwise(own)
-
-    return fields_of(part(1, UNDEF_TWP, ERROR_TWP), part(2, UNDEF_RGE, ERROR_RGE), part(3, UNDEF_SEC, ERROR_SEC))
+    s = F.lower(F.coalesce(F.nullif(_column(trs), F.lit("")), F.lit(UNDEF_TWP + UNDEF_RGE + UNDEF_SEC)))
+    group = lambda k: F.nullif(F.regexp_extract(s, _TRS, k), F.lit(""))
+    # every field is cut from the text by itself: nested expressions would be copied into each other
+    twp, rge, sec = (F.coalesce(group(k), F.lit(error)) for k, error in ((1, ERROR_TWP), (4, ERROR_RGE), (7, ERROR_SEC)))
+    return {
+        "trs": F.concat(twp, rge, sec),
+        "twp": twp,
+        "twp_num": group(2).cast("int"),
+        "twp_ns": group(3),
+        "twp_undef": twp == UNDEF_TWP,
+        "rge": rge,
+        "rge_num": group(5).cast("int"),
+        "rge_ew": group(6),
+        "rge_undef": rge == UNDEF_RGE,
+        "sec": sec,
+        "sec_num": group(8).cast("int"),
+        "sec_undef": sec == UNDEF_SEC,
+    }
 
 
 def fields_of(twp: Column, rge: Column, sec: Column) -> dict[str, Column]:
     """The twelve fields of parts that are valid, erroneous or undefined."""
-    number = lambda c: F.substring(c, 1, F.length(c) - 1).try_cast("int")
-    letter = lambda c: F.when(number(c).isNotNull(), F.substring(c, -1, 1))
+    # a failing try_cast costs an exception for each row, so only valid parts are cast
+    valid = lambda c: F.substring(c, 1, 1).between("0", "9")
+    number = lambda c, n: F.when(valid(c), F.substring(c, 1, n)).cast("int")
+    letter = lambda c: F.when(valid(c), F.substring(c, -1, 1))
     return {
         "trs": F.concat(twp, rge, sec),
         "twp": twp,
-        "twp_num": number(twp),
+        "twp_num": number(twp, F.length(twp) - 1),
         "twp_ns": letter(twp),
         "twp_undef": twp == UNDEF_TWP,
         "rge": rge,
-        "rge_num": number(rge),
+        "rge_num": number(rge, F.length(rge) - 1),
         "rge_ew": letter(rge),
         "rge_undef": rge == UNDEF_RGE,
         "sec": sec,
-        "sec_num": sec.try_cast("int"),
+        "sec_num": number(sec, F.lit(2)),
         "sec_undef": sec == UNDEF_SEC,
     }
 
