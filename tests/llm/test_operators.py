@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from platgrid.llm import chat, decontam, licences, linededup, mixing, quality, simhash, substring, warc, webp
+from platgrid.llm import chat, common, decontam, licences, linededup, mixing, quality, simhash, substring, warc, webp
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = "river stone market letter window garden engine silver travel doctor summer winter planet object report simple moment figure street animal number people school bridge".split()
@@ -186,8 +186,8 @@ def test_band(a, edits, t):
     assert linededup.within([a], [bytes(b)], t)[0] == (edit_distance(a, bytes(b)) <= t)
 
 
-def line_dedup_brute(rows):
-    seen, out = [], []
+def line_dedup_brute(rows, short=True):
+    seen, out, exact = [], [], set()
     for i, t, *rest in sorted(rows, key=lambda r: r[0]):
         kept = []
         for line in t.split("\n"):
@@ -197,6 +197,10 @@ def line_dedup_brute(rows):
                     seen.append(b)
                     continue
                 seen.append(b)
+            elif short and line in exact:
+                continue
+            elif short and line:
+                exact.add(line)
             kept.append(line)
         out.append((i, "\n".join(kept), *rest))
     return out
@@ -219,8 +223,56 @@ def near_lines(rng, n_docs):
 
 def test_line_dedup_brute_force(spark):
     rows = near_lines(random.Random(6), 40)
-    got = sorted((r.doc_id, r.text) for r in linededup.line_dedup(table(spark, rows, True)).collect())
-    assert got == [(i, t) for i, t, _ in line_dedup_brute(rows)]
+    for short in (True, False):
+        got = sorted((r.doc_id, r.text) for r in linededup.line_dedup(table(spark, rows, True), short=short).collect())
+        assert got == [(i, t) for i, t, _ in line_dedup_brute(rows, short)]
+
+
+def dated_lines(rng, n):
+    """Every document has the same line, and two log lines that differ in a day and a number alone."""
+    rows = []
+    for i in range(n):
+        dated = [f"2024-03-{rng.randrange(1, 29):02d} INFO request {rng.randrange(10**4):04d} was served by the pool in time{'s' * rng.randrange(2)}" for _ in range(2)]
+        rows.append((i, "\n".join(["All pages of this site carry this very line.", *dated]), "a"))
+    return rows
+
+
+def test_line_dedup_hot_keys(spark, monkeypatch):
+    rows = dated_lines(random.Random(26), 60)
+    want = [(i, t) for i, t, _ in line_dedup_brute(rows)]
+    assert 60 < sum(t.count("\n") + 1 for _, t in want if t) < 2 * 60
+    for pairs, held in ((100, 1 << 14), (20, 16)):
+        monkeypatch.setattr(linededup, "HOT_PAIRS", pairs)
+        monkeypatch.setattr(linededup, "HOT_ROWS", held)
+        common.forget(spark)
+        assert sorted((r.doc_id, r.text) for r in linededup.line_dedup(table(spark, rows, True)).collect()) == want
+        assert any("line-finer" in p for p in common._stored)
+
+
+def meetings(texts, chunk):
+    """Rows that meeting() gives, and pairs among them, for the keys of texts that come in chunks of so many."""
+    batches = []
+    for at in range(0, len(texts), chunk):
+        for _, x in linededup._chunked(pa.array(texts[at : at + chunk]), linededup.LEAST_BYTES):
+            key, line, *_ = linededup.segment_keys(x, np.unique(x.h1, return_index=True)[1], linededup.THRESHOLD, linededup.LEAST_BYTES)
+            batches.append((key.view(np.int64), x.h1[line].view(np.int64)))
+    key, h = np.concatenate([k for k, _ in batches]), np.concatenate([h for _, h in batches])
+    order = np.argsort(key, kind="stable")
+    rows = [pa.RecordBatch.from_arrays([pa.array(key[o]), pa.array(h[o])], names=["key", "h1"]) for o in np.array_split(order, 7)]
+    got = [r for b in linededup.meeting(linededup.HOT_PAIRS, linededup.HOT_ROWS)(iter(rows)) for r in b.to_pylist()]
+    return len(got), {(r["a"], r["b"]) for r in got if not r["hot"]}
+
+
+def test_line_dedup_meetings_follow_distinct_lines():
+    rng = random.Random(27)
+    near = ["a line that stands in every single document", "a line that stands in every single documents"]
+    texts = [prose(rng, 8) + "\n" + "\n".join(near) for _ in range(800)]
+    sizes = [meetings(texts[:n], 2) for n in (400, 800)]
+    # however many chunks have the two lines, they meet once for each key that they share
+    assert sizes[1][0] <= sizes[0][0] + 40 and sizes[0][0] <= 40 and len(sizes[0][1]) >= 1
+    dated = ["\n".join(t for t in r[1].split("\n")) for r in dated_lines(rng, 800)]
+    counts = [meetings(dated[:n], 2)[0] for n in (400, 800)]
+    assert counts[0] > 400 and counts[1] <= 3 * linededup.HOT_PAIRS + 15 * (2 * 800 + 1)
 
 
 def test_line_dedup_awkward(spark):
@@ -237,7 +289,7 @@ def test_line_dedup_awkward(spark):
 def test_line_dedup_short_lines(spark):
     rows = near_lines(random.Random(16), 40) + [(100 + i, "Les.\n\nLes\n" + "é" * (i % 3) + "\nAll rights reserved.\n\n ", "a") for i in range(5)]
     seen, want = set(), []
-    for (i, t, _), (_, kept, _) in zip(rows, line_dedup_brute(rows)):
+    for (i, t, _), (_, kept, _) in zip(rows, line_dedup_brute(rows, False)):
         left, out = kept.split("\n"), []
         for line in t.split("\n"):
             n = len(line.encode())
