@@ -16,7 +16,7 @@ happens to be first.  Every candidate is verified by comparing the words, and wi
 Defined results: a row is a run of equal words in doc_id and an earlier source_doc, [start_word, end_word) in words of doc_id; together the
 rows of a document cover exactly the words that stand in some such passage.
 Null, empty and shorter texts hold no passage; rows of null doc_id are left out.  Of repeated rows of one doc_id one counts;
-equal texts under several ids give a passage each.  Repeats inside one document do not count.  Very long texts are
+equal texts under several ids give a passage each.  Ids may be of any type that has an order.  Repeats inside one document do not count.  Very long texts are
 handled whole; extra columns are ignored, and empty tables give empty results.
 """
 
@@ -264,21 +264,37 @@ def _equal(a: np.ndarray, t: tc.Tokens, p: int, b: np.ndarray, u: tc.Tokens, q:
     return np.array_equal(a[np.repeat(t.start[p : p + n], la) + ramp], b[np.repeat(u.start[q : q + n], la) + ramp])
 
 
+def _batches(texts: DataFrame, batches: int) -> list[DataFrame]:
+    """texts in ranges of doc_id of about equal numbers of rows; ids of any type that has an order."""
+    if batches < 2:
+        return [texts]
+    if isinstance(texts.schema["doc_id"].dataType, T.NumericType):
+        ends = texts.agg(F.min("doc_id"), F.max("doc_id")).first()
+        cut = [ends[0] + (ends[1] + 1 - ends[0]) * k // batches for k in range(1, batches)]
+    else:
+        # every id stands in the range of its first characters' place among all; the bounds are a few, whatever the input
+        parts = texts.select("doc_id").repartitionByRange(batches, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("m"))
+        cut = sorted(r.m for r in parts.collect())[1:]
+    edges = [None, *sorted(set(cut)), None]
+    out = []
+    for lo, hi in zip(edges, edges[1:]):
+        own = texts if lo is None else texts.where(F.col("doc_id") >= F.lit(lo))
+        out.append(own if hi is None else own.where(F.col("doc_id") < F.lit(hi)))
+    return out
+
+
 def passages(docs: DataFrame, batches: int = BATCHES, buckets: int = BUCKETS) -> DataFrame:
     """Passages (doc_id, start_word, end_word, source_doc, source_start); docs come in batches of doc_id ranges."""
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select("doc_id", "text").where("doc_id is not null")
-    ends = texts.agg(F.min("doc_id"), F.max("doc_id")).first()
-    index = FingerprintIndex(spark, buckets)
-    if ends[0] is None:
-        return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start_word int, end_word int, source_doc {docs.schema['doc_id'].dataType.simpleString()}, source_start int")
-    cut = [ends[0] + (ends[1] + 1 - ends[0]) * k // batches for k in range(batches + 1)]
-    found = None
-    for lo, hi in zip(cut, cut[1:]):
-        if lo < hi:
-            own = index.ingest(texts.where(F.col("doc_id").between(lo, hi - 1)))
-            found = own if found is None else found.unionByName(own)
+    if texts.isEmpty():
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return spark.createDataFrame([], f"doc_id {kind}, start_word int, end_word int, source_doc {kind}, source_start int")
+    index, found = FingerprintIndex(spark, buckets), None
+    for batch in _batches(texts, batches):
+        own = index.ingest(batch)
+        found = own if found is None else found.unionByName(own)
     texts = texts.where("text is not null")
     return _verified(found.unionByName(_contested(index, texts)), texts)
 

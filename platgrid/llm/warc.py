@@ -8,16 +8,19 @@ undone.
 
 Defined results: every origin gives one row with a status: `ok`; `gap` (a number is missing, the first or
 the last one lost); `length` (a segment or the sum differs from what is declared); `framing` (chunks broken); `head` (no HTTP
-head in a response).  body is null unless the status is `ok`.  Copies of a segment (same number, same
+head in a response); `damaged` (a record whose head names no readable length, or a file that cannot be unpacked to its end: such a row has the
+file and the byte as its origin_id).  body is null unless the status is `ok`.  Copies of a segment (same number, same
 bytes) count once; of different bytes under one number, the status is `conflict`.  Records that are null, empty or
-without a WARC head or identifier give nothing.  Records without segments are their own origin.  Empty tables give empty results.
+without a WARC head or identifier give nothing.  Segment numbers that are no number up to 2**31 - 1 count as missing (0).  Records without segments are their own origin.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import gzip
+import io
 import re
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +31,9 @@ from .common import small_batches, table
 
 RECORD = "record_id string, origin_id string, type string, uri string, number int, total_length bigint, declared bigint, payload binary"
 PAGE = "origin_id string, uri string, segments int, total_length bigint, status string, http_status int, chunked boolean, body binary"
+DAMAGED = "damaged"
+#: Bytes that are read from a file at once.
+READ_BYTES = 4 << 20
 _CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
 
 
@@ -50,8 +56,10 @@ def parse_head(raw: bytes) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
-def _number(x: str | None) -> int | None:
-    return int(x) if x is not None and x.isdigit() and len(x) < 19 else None
+def _number(x: str | None, most: int = (1 << 63) - 1) -> int | None:
+    """The number that x is, of ASCII digits alone; None if it is none or above most."""
+    n = int(x) if x is not None and x.isascii() and x.isdigit() and len(x) < 20 else None
+    return n if n is not None and n <= most else None
 
 
 def dechunk(raw: bytes) -> bytes | None:
@@ -90,10 +98,12 @@ def parse_records(warc: DataFrame) -> DataFrame:
                 if n is not None and payload[n:] in (b"", b"\r\n\r\n"):
                     payload = payload[:n]
                 kind = f.get("warc-type", "").lower()
+                if kind == DAMAGED:  # what read_records makes of bytes that it could not read
+                    n = None
                 origin = f.get("warc-segment-origin-id") if kind == "continuation" else own
                 if not origin:
                     continue
-                number = _number(f.get("warc-segment-number"))
+                number = _number(f.get("warc-segment-number"), (1 << 31) - 1)
                 rows.append((own, origin, kind, f.get("warc-target-uri"), 0 if number is None else number, _number(f.get("warc-segment-total-length")), n, payload))
             cols = list(zip(*rows)) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=[x.split()[0] for x in RECORD.split(", ")])
@@ -116,6 +126,8 @@ def join_segments(segments: list[dict]) -> dict:
     whole = numbers == [0]
     payload = b"".join(bytes(p["payload"]) for p in parts)
     total = parts[-1]["total_length"]
+    if head["type"] == DAMAGED:
+        status = DAMAGED
     out = {"uri": next((p["uri"] for p in parts if p["uri"]), None), "segments": len(parts), "total_length": len(payload) if whole else total, "http_status": None, "chunked": None, "body": None}
     if status == "ok" and not whole and (numbers != list(range(1, len(numbers) + 1)) or total is None or head["type"] == "continuation"):
         status = "gap"
@@ -159,25 +171,114 @@ def reassemble(warc: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, PAGE)
 
 
+class _Records:
+    """Records of a WARC file that comes in pieces, in time and memory that follow the longest record."""
+
+    def __init__(self, name: str, pieces: Iterator[bytes]):
+        self.name, self.pieces, self.buffer, self.at, self.base, self.broken = name, pieces, bytearray(), 0, 0, None
+
+    def _more(self) -> bool:
+        if self.broken is None:
+            try:
+                piece = next(self.pieces, None)
+            except (OSError, EOFError, zlib.error) as e:
+                self.broken, piece = f"{type(e).__name__}: {e}", None
+            if piece:
+                del self.buffer[: self.at]
+                self.base, self.at = self.base + self.at, 0
+                self.buffer += piece
+                return True
+            self.pieces = iter(())
+        return False
+
+    def _find(self, what: bytes, start: int) -> int:
+        """Where `what` is at or behind start, as offset to self.at; -1 if nowhere."""
+        while (found := self.buffer.find(what, self.at + start)) < 0:
+            start = max(start, len(self.buffer) - self.at - len(what) + 1)
+            if not self._more():
+                return -1
+        return found - self.at
+
+    def _damaged(self, why: str) -> bytes:
+        where = f"{self.name}@{self.base + self.at}"
+        return f"WARC/1.0\r\nWARC-Type: {DAMAGED}\r\nWARC-Record-ID: {where}\r\nWARC-Target-URI: {why}\r\n\r\n".encode()
+
+    def __iter__(self) -> Iterator[bytes]:
+        while True:
+            start = self._find(b"WARC/", 0)
+            if start != 0 and (self.buffer[self.at :].strip() if start < 0 else self.buffer[self.at : self.at + start].strip()):
+                yield self._damaged("bytes that belong to no record")
+            if start < 0:
+                break
+            self.at += start
+            end = self._find(b"\r\n\r\n", 0)
+            got = parse_head(bytes(self.buffer[self.at : self.at + end + 4])) if end >= 0 else None
+            n = _number(got[0].get("content-length")) if got else None
+            if n is None:
+                # the next record is where the next head begins
+                yield self._damaged("no readable length")
+                self.at += 5
+                after = self._find(b"\r\nWARC/", 0)
+                if after < 0:
+                    self.at = len(self.buffer)
+                    break
+                self.at += after + 2
+                continue
+            whole = got[1] + n
+            while len(self.buffer) - self.at < whole and self._more():
+                pass
+            yield bytes(self.buffer[self.at : self.at + whole])  # a record that is cut off fails the check of its length
+            self.at = min(len(self.buffer), self.at + whole)
+        if self.broken:
+            yield self._damaged(self.broken)
+
+
+def _pieces(raw: BinaryIO) -> Iterator[bytes]:
+    """The bytes of a file, unpacked if they are gzipped, also record by record."""
+    first = raw.read(READ_BYTES)
+    if first[:2] != b"\x1f\x8b":
+        while first:
+            yield first
+            first = raw.read(READ_BYTES)
+        return
+    unpack, inside = zlib.decompressobj(31), False
+    while first:
+        inside = True
+        out = unpack.decompress(first, READ_BYTES)
+        if out:
+            yield out
+        if unpack.eof:
+            first, inside = unpack.unused_data.lstrip(b"\0"), False
+            unpack = zlib.decompressobj(31)
+        else:
+            first = unpack.unconsumed_tail
+        first = first or raw.read(READ_BYTES)
+    rest = unpack.flush()
+    if rest:
+        yield rest
+    if inside and not unpack.eof:
+        raise EOFError("the file ends inside a packed record")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """`record` rows of the WARC files (also with each record gzipped) under path; one task reads one file."""
+    """`record` rows of the WARC files (plain, or gzipped whole or record by record) under path; one task reads one file, of at most 2 GB as it is stored.
+
+    Damaged stretches give a record of type `damaged`, and reading goes on at the next head."""
+    small_batches(spark)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                at, out = 0, []
-                while at < len(raw):
-                    got = parse_head(raw[at:]) if raw[at : at + 5] == b"WARC/" else None
-                    n = _number(got[0].get("content-length")) if got else None
-                    if n is None:
-                        break
-                    end = at + got[1] + n
-                    out.append(raw[at:end])
-                    at = end + 4
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out, size = [], 0
+                for record in _Records(name, _pieces(io.BytesIO(raw))):
+                    out.append(record)
+                    size += len(record)
+                    if size > READ_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                        out, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, "record binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, "record binary")
 
 
 def to_warc(pages: DataFrame, segment_bytes: int = 1500, chunk_bytes: int = 700) -> DataFrame:

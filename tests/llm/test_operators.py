@@ -423,6 +423,67 @@ def test_quality_held_out(spark):
     assert np.allclose(alone, [got[i].quality_score for i in range(50)], atol=1e-5)
 
 
+def quality_brute(texts, labels, config, scored):
+    """The classifier with dictionaries and whole numbers in place of arrays: (threshold, scores)."""
+    import math
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def vector(text):
+        tokens = re.findall(r"[\w\u0080-\uffff]+|[!-/:-@\[-^`{-~]+", text)
+        h = [mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(t.encode())) & mask) for t in tokens]
+        repeat = int(quality.REPEAT)
+        feats = h + [repeat if a == b else mix((a * 0x9E3779B97F4A7C15 + b) & mask) for a, b in zip(h, h[1:])]
+        feats += [repeat for i in range(len(h) - 2) if h[i] == h[i + 2] and re.match(r"\w", tokens[i])]
+        count = {}
+        for f in feats:
+            count[f >> (64 - config.bits)] = count.get(f >> (64 - config.bits), 0) + 1
+        value = {k: math.log2(1 + c) for k, c in count.items()}
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        return {k: v / norm for k, v in value.items()} | {"bias": 1.0}
+
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= config.l1:
+            return 0.0
+        return -(z[k] - math.copysign(config.l1, z[k])) / ((config.beta + math.sqrt(n[k])) / config.alpha + config.l2)
+
+    def probability(x):
+        return 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+
+    fit_to = len(labels) - int(len(labels) * config.held_out)
+    share = sum(labels[:fit_to]) / fit_to
+    xs, order = [vector(t) for t in texts], np.random.default_rng(17)
+    for _ in range(config.epochs):
+        for i in order.permutation(fit_to):
+            p, w = probability(xs[i]), {k: weight(k) for k in xs[i]}
+            for k, v in xs[i].items():
+                g = (p - labels[i]) * v * (0.5 / share if labels[i] else 0.5 / (1 - share))
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / config.alpha * w[k]
+                n[k] = old + g * g
+    good = [probability(x) for x, y in zip(xs[fit_to:], labels[fit_to:]) if y]
+    return min(0.5, float(np.quantile(good, 1 - config.keep_good))), [probability(vector(t)) for t in scored]
+
+
+def test_quality_brute_force(spark):
+    rows, labels = graded(random.Random(17), 120)
+    config = quality.QualityConfig(bits=14, epochs=2)
+    train, y = [t for _, t, _ in rows[:90]], [q for _, q, _ in labels[:90]]
+    w, threshold = quality.train(train, y, config)
+    want, scores = quality_brute(train, y, config, [t for _, t, _ in rows[90:]])
+    assert abs(threshold - want) < 1e-4
+    got = {r.doc_id: r for r in quality.classify(table(spark, rows[90:], True), w, threshold, config).collect()}
+    assert np.allclose([got[i].quality_score for i, *_ in rows[90:]], scores, atol=1e-4)
+    assert all(got[i].quality_keep == (got[i].quality_score >= threshold) for i, *_ in rows[90:])
+
+
 def test_quality_awkward(spark):
     df = awkward(spark)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
@@ -497,6 +558,32 @@ def copies(rng, n):
     return rows
 
 
+def fingerprint_brute(text):
+    """Bit by bit, with whole numbers: words and pairs of words hashed, each bit by the majority of the distinct hashes."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    words = [mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w.encode())) & mask) for w in re.findall(r"[\w\u0080-\uffff]+", text.lower())]
+    feats = {h >> 21 for h in words} | {mix((a * 0x9E3779B97F4A7C15 + b) & mask) >> 21 for a, b in zip(words, words[1:])}
+    out = []
+    for w in range(simhash.WORDS):
+        own = [mix((h + w * 0xA24BAED4963EE407) & mask) for h in feats]
+        out.append(sum((2 * sum(h >> i & 1 for h in own) > len(own)) << i for i in range(64)))
+    return out
+
+
+def test_fingerprint_bit_by_bit():
+    rng = random.Random(31)
+    texts = [prose(rng, n) for n in (1, 2, 3, 10, 100, 700)] + ["Été, ÉTÉ! deux-mots", "a a a a", "", "..."]
+    got, some = simhash.fingerprints(pa.array(texts))
+    assert some.tolist() == [True] * 8 + [False] * 2
+    assert [list(map(int, g)) for g in got[:8]] == [fingerprint_brute(t) for t in texts[:8]]
+
+
 def test_fingerprint_is_the_majority():
     t = "one two three two one"
     f, some = simhash.fingerprints(pa.array([t, "", None, "?!"], pa.string()))
@@ -588,6 +675,9 @@ def test_substring_awkward(spark):
     got = substring.passages(table(spark, [(1, t, "a"), (2, t.upper().replace(" ", ", "), "a"), (2, t.upper().replace(" ", ", "), "a"), (None, t, "a"), (3, None, "a")]))
     assert [(r.doc_id, r.start_word, r.end_word, r.source_doc, r.source_start) for r in got.collect()] == [(2, 0, 80, 1, 0)]
     assert substring.passages(empty(spark)).count() == 0
+    named = spark.createDataFrame([(f"doc-{k:02d}", prose(rng, 9) + " " + (t if k % 3 == 0 else "") + " " + prose(rng, 9)) for k in range(12)], "doc_id string, text string")
+    for n in (1, 3):
+        assert sorted((r.doc_id, r.start_word, r.end_word, r.source_doc) for r in substring.passages(named, n).collect()) == [(f"doc-{k:02d}", 9, 89, "doc-00") for k in (3, 6, 9)]
 
 
 # 10
@@ -625,6 +715,48 @@ def test_warc_faults(spark):
     assert warc.dechunk(b"3;x=1\r\nabc\r\n0\r\n\r\n") == b"abc" and warc.dechunk(b"3\r\nabcd\r\n0\r\n\r\n") is None
 
 
+def test_warc_damaged_heads_never_crash(spark):
+    head = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\n%s\r\nabc"
+    odd = [b"WARC-Segment-Number: 99999999999\r\nContent-Length: 3\r\n", "WARC-Segment-Number: ²\r\nContent-Length: ³\r\n".encode(), b"WARC-Segment-Total-Length: 99999999999999999999\r\nContent-Length: 3\r\n", b"Content-Length: 9223372036854775807\r\n", b"Content-Length: -3\r\n", b"\xff\xfe: \xff\r\nContent-Length: 3\r\n"]
+    rows = [(bytearray(head % (k, x)),) for k, x in enumerate(odd)] + [(bytearray(b"WARC/1.0\r\n\r\n"),), (bytearray(b"\xff" * 50),), (None,)]
+    got = {r.origin_id: r.status for r in warc.reassemble(spark.createDataFrame(rows, "record binary")).collect()}
+    assert got == {"<0>": "ok", "<1>": "length", "<2>": "ok", "<3>": "length", "<4>": "length", "<5>": "ok"}
+    rng = random.Random(30)
+    good = [bytes(r.record) for r in warc.to_warc(spark.createDataFrame([(i, f"http://x/{i}", prose(rng, 300)) for i in range(4)], "page_id bigint, url string, html string")).collect()]
+    broken = []
+    for _ in range(300):
+        b = bytearray(rng.choice(good))
+        for _ in range(rng.randrange(1, 5)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        broken.append((b,))
+    assert warc.reassemble(spark.createDataFrame(broken, "record binary")).count() > 0
+
+
+def test_warc_files_with_damage(spark, tmp_path):
+    import gzip
+
+    record = lambda k, body, more=b"": b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <%s>\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, more, len(body), body)
+    (tmp_path / "a.warc").write_bytes(record(b"1", b"one WARC/ two") + b"WARC/1.0\r\nWARC-Record-ID: <bad>\r\nContent-Length: x\r\n\r\nlost\r\n\r\n" + record(b"2", b"") + b"junk" + record(b"3", b"three")[:-7])
+    packed = [gzip.compress(record(b"4", b"four" * 5000)), gzip.compress(record(b"5", bytes(random.Random(1).randbytes(5000))))]
+    (tmp_path / "b.warc.gz").write_bytes(packed[0] + packed[1][:-900])
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc").write_bytes(b"no record at all")
+    got = {r.origin_id.rsplit("/", 1)[-1]: r for r in warc.reassemble(warc.read_warc(spark, str(tmp_path))).collect()}
+    first = record(b"1", b"one WARC/ two")
+    assert {k: r.status for k, r in got.items()} == {
+        "<1>": "ok", f"a.warc@{len(first)}": "damaged", "<2>": "ok", "<3>": "length", "<4>": "ok", "<5>": "length", "d.warc@0": "damaged",
+        **{k: "damaged" for k in got if k.startswith(("b.warc.gz@", "a.warc@"))},
+    }
+    assert len(got) == 9 and bytes(got["<1>"].body) == b"one WARC/ two" and bytes(got["<4>"].body) == b"four" * 5000 and got["<2>"].body == b""
+    # in time that follows the bytes
+    import time
+
+    big = b"".join(record(b"%d" % k, b"x" * 400) for k in range(60000))
+    began = time.time()
+    assert sum(1 for _ in warc._Records("x", iter([big[i : i + (1 << 20)] for i in range(0, len(big), 1 << 20)]))) == 60000
+    assert time.time() - began < 20
+
+
 def test_warc_files(spark, tmp_path):
     import gzip
 
