@@ -6,6 +6,7 @@ the expected rows out from the same keys and never reads a text."""
 from __future__ import annotations
 
 import re
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from .functions import text as tx
 from .functions import trs as tr
 from .operators import parse, tail
 from .plans.options import Options
+from .plans.storage import shared_dir
 from .sources import csvfiles
 
 QUERIES: dict = {}
@@ -501,3 +503,78 @@ def sql_table_functions(spark, sf_dir):
     parse.register(spark)
     texts(spark, sf_dir, "T{t}N-R{r}W Sec {s} - {s+2}: NE/4").createOrReplaceTempView("platgrid_texts")
     return spark.sql("SELECT k, orig_index, twprge, sec FROM platgrid_texts, LATERAL plss_tracts(text, CAST(NULL AS STRING))")
+
+
+@query("dedup_instance", f"{_L} SELECT pos + (SELECT max(pos) + 1 FROM l) AS pos, trs FROM l WHERE trs LIKE 'XXX%'")
+def dedup_instance(spark, sf_dir):
+    d = _list(spark, sf_dir).withColumn("uid", F.col("pos").cast("string"))
+    return tail.filter_duplicates(tail.concat(d, tail.filter_errors(d)[0]))[0].select("pos", "trs")
+
+
+@query("group_sorted", f"{_L} SELECT substr(trs, 1, length(trs) - 2) AS twprge, string_agg(pos::VARCHAR, ',' ORDER BY try_cast(regexp_extract(trs, '[ew]([0-9]+)$', 1) AS INTEGER) ASC NULLS LAST, pos) AS members FROM l GROUP BY 1")
+def group_sorted(spark, sf_dir):
+    g = tail.group_by(_list(spark, sf_dir).select("pos", "twprge", "trs"), "twprge", sort_key="s")
+    return g.select("twprge", F.array_join(F.transform("rows", lambda r: r["pos"].cast("string")), ",").alias("members"))
+
+
+@query(
+    "group_nested_deep",
+    f"""{_L}, g AS (SELECT substr(trs, 1, length(trs) - 2) AS twprge, desc, pos % 2 AS odd, count(*) AS n, min(pos) AS p FROM l GROUP BY 1, 2, 3),
+h AS (SELECT twprge, desc, string_agg(odd || '=' || n, ' ' ORDER BY p) AS inner_groups, min(p) AS p FROM g GROUP BY 1, 2)
+SELECT twprge, string_agg(desc || ':' || inner_groups, ',' ORDER BY p) AS groups FROM h GROUP BY twprge""",
+)
+def group_nested_deep(spark, sf_dir):
+    g = tail.group_by_nested(_list(spark, sf_dir).select("pos", "twprge", "desc", (F.col("pos") % 2).alias("odd")), "twprge", "desc", "odd")
+    inner = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"].cast("string"), F.lit("="), F.size(e["value"]).cast("string"))), " ")
+    return g.select("twprge", F.array_join(F.transform(F.map_entries("groups"), lambda e: F.concat(e["key"], F.lit(":"), inner(e["value"]))), ",").alias("groups"))
+
+
+@query("tracts_to_str", f"{_L} SELECT pos, 'Tract ' || row_number() OVER (ORDER BY pos) || ' / ' || count(*) OVER () || chr(10) || 'trs : ' || trs || chr(10) || 'qqs : ' || replace(qq, ',', ', ') AS report FROM l")
+def tracts_to_str(spark, sf_dir):
+    return tail.tracts_to_str(_list(spark, sf_dir).withColumn("qqs", F.col("qqs")).withColumnRenamed("desc", "d"), "trs", "qqs")
+
+
+@query(
+    "pretty_desc_whole",
+    f"""{_L}, a AS (SELECT *, substr(trs, 1, length(trs) - 2) AS tr, {_NUM} FROM l),
+b AS (SELECT *, (lag(tr) OVER (ORDER BY pos) IS DISTINCT FROM tr)::INTEGER AS new FROM a),
+c AS (SELECT *, sum(new) OVER (ORDER BY pos)::BIGINT AS run FROM b)
+SELECT run, CASE WHEN any_value(tn) IS NULL THEN 'T---X-R---X' ELSE 'T' || any_value(tn) || upper(any_value(ns)) || '-R' || any_value(rn) || upper(any_value(ew)) END AS heading,
+  string_agg('Sec ' || right(trs, 2) || ': ' || desc, chr(10) ORDER BY pos) AS body FROM c GROUP BY run""",
+)
+def pretty_desc_whole(spark, sf_dir):
+    return tail.pretty_desc(_list(spark, sf_dir))
+
+
+@query("quick_desc_lots_aliquots", f"{_L} SELECT pos, trs || ': ' || CASE desc WHEN 'N/2' THEN 'N2' WHEN 'S/2' THEN 'S2' ELSE 'L1' END AS quick_desc FROM l")
+def quick_desc_lots_aliquots(spark, sf_dir):
+    return tail.quick_desc_lots_aliquots(_list(spark, sf_dir)).select("pos", "quick_desc")
+
+
+def _csv_folder(spark, sf_dir, pattern) -> str:
+    """Texts by key, as CSV files with the key in front."""
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    texts(spark, sf_dir, pattern).select("k", "text").write.csv(path, header=True)
+    return path
+
+
+@query(
+    "csv_parse_rows",
+    f"{_D} SELECT CASE WHEN i = 0 THEN k::VARCHAR END AS k, i AS orig_index, {_TRS} || {_SEC.format('s + i')} AS trs, CASE i WHEN 0 THEN '' ELSE 'NE' END AS qqs FROM d, (SELECT unnest(range(2))::INTEGER AS i)",
+)
+def csv_parse_rows(spark, sf_dir):
+    path = _csv_folder(spark, sf_dir, "T{t}N-R{r}W Sec {s}: Lot 1, Sec {s+1}: NE")
+    return csvfiles.parse_csv_rows(spark, path, 2, ["trs", "qqs"], "clean_qq,qq_depth.1", header_row=1).select("k", "orig_index", "trs", "qqs")
+
+
+@query("writer_uid", f"{_L} SELECT lpad((desc_no + 5)::VARCHAR, 7, '0') AS number, count(*) AS n FROM l WHERE pos % 2 = 0 GROUP BY 1 UNION ALL SELECT lpad(((SELECT max(desc_no) FROM l WHERE pos % 2 = 0) + 6)::VARCHAR, 7, '0'), count(*) FROM l WHERE trs LIKE 'XXX%' AND pos < 1000")
+def writer_uid(spark, sf_dir):
+    """Two tables written one after the other; the identifiers of the second go on where those of the first end."""
+    path, d = f"{shared_dir(spark)}/tracts-{uuid.uuid4().hex}", _list(spark, sf_dir)
+    with csvfiles.TractWriter(spark, path, ["trs"], uid=5) as w:
+        w.write(d.where("pos % 2 = 0"), by="desc_no", order="pos")
+        top = w.uid
+        w.write(tail.filter_errors(d.where("pos < 1000"))[0], order="pos")
+    assert w.uid == top + 1
+    back = spark.read.csv(path, header=True, schema="uid string, trs string")
+    return back.groupBy(F.lpad(F.substring_index("uid", ".", 1), 7, "0").alias("number")).agg(F.count("*").alias("n"))

@@ -16,10 +16,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def tracts(descriptions: DataFrame, options: Options = Options(), text_col: str = "text", config_col: str | None = None, orig_desc: bool = False) -> DataFrame:
+def tracts(descriptions: DataFrame, options: Options | None = None, text_col: str = "text", config_col: str | None = None, orig_desc: bool = False) -> DataFrame:
     """A row for each tract of each description, in order of orig_index; other columns of the description stay, as does a column source.
 
     Descriptions without a text give no tract. With parse_qq, the columns of tract_parts are added, with orig_desc the description's text."""
+    options = options or Options.default()
     keep = [c for c in descriptions.columns if c != text_col]
     p = descriptions.where(F.col(text_col).isNotNull()).withColumn("_p", text.parse_description(text_col, options, config_col))
     rows = p.select(*keep, *([F.col(text_col).alias("orig_desc")] if orig_desc else []), "_p", F.posexplode("_p.tracts").alias("orig_index", "_t"))
@@ -45,8 +46,9 @@ def tracts(descriptions: DataFrame, options: Options = Options(), text_col: str
     return tract_parts(out, options, "desc", config_col) if options.parse_qq else out
 
 
-def tract_parts(rows: DataFrame, options: Options = Options(), desc_col: str = "desc", config_col: str | None = None) -> DataFrame:
+def tract_parts(rows: DataFrame, options: Options | None = None, desc_col: str = "desc", config_col: str | None = None) -> DataFrame:
     """rows with pp_desc, lots, qqs, lots_qqs, aliquots_whole, lot_acres; warnings are put behind w_flags, if there."""
+    options = options or Options.default()
     p = rows.withColumn("_q", text.parse_tract(desc_col, options, config_col))
     new = {
         "pp_desc": F.col("_q.pp_desc"),
@@ -71,10 +73,11 @@ def with_aliquots(rows: DataFrame, assume_standard: bool = False) -> DataFrame:
     return out.withColumn("lots_aliquots", F.concat("sorted_lots", "aliquots"))
 
 
-def register(spark: SparkSession, options: Options = Options()) -> None:
+def register(spark: SparkSession, options: Options | None = None) -> None:
     """Makes the SQL table functions plss_tracts(text, config) and tract_parts(text, config).
 
     They are queries over the Arrow functions, which stay under the names plss_description and plss_tract, so that a lateral join with them works on whole batches. OUTER keeps Spark from inferring a filter that would parse every text once more."""
+    options = options or Options.default()
     spark.udf.register("plss_description", text.description_udf(options, lateral=True))
     spark.udf.register("plss_tract", text.tract_udf(options, lateral=True))
     spark.sql(

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import simplify_aliquots, sorted_lots
 from ..functions.trs import is_error, is_undef, pretty_twprge, trs_fields
@@ -39,17 +40,18 @@ def filter_errors(df: DataFrame, twp: bool = True, rge: bool = True, sec: bool =
     return filter_rows(df, bad | is_undef("trs", twp, rge, sec) if undef else bad)
 
 
-def filter_duplicates(df: DataFrame, method: str = "trs", pos: str = POS) -> tuple[DataFrame, DataFrame]:
+def filter_duplicates(df: DataFrame, method: str = "default", pos: str = POS) -> tuple[DataFrame, DataFrame]:
     """Second and later rows of equal key, and the rest; the first in order of pos stays.
 
-    trs; desc (and the trimmed pp_desc); lots_qqs (and the set of lots_qqs, where parsed); instance (by the column uid);
-    a list of TRS strings is equal by value, so for it instance means trs."""
+    trs; desc (and the trimmed pp_desc); lots_qqs (and the set of lots_qqs, where parsed); instance (by the column uid, or where there is none
+    rows that are equal in all columns but pos). default is instance for tracts, and trs for a list of TRS strings, which are equal by value."""
+    if method == "default":
+        method = "instance" if "desc" in df.columns else "trs"
     keys = {
         "trs": lambda: ["trs"],
-        "default": lambda: ["trs"],
         "desc": lambda: ["trs", F.trim(F.coalesce("pp_desc", F.lit(""))) if "pp_desc" in df.columns else F.trim("desc")],
         "lots_qqs": lambda: ["trs", F.array_join(F.array_sort(F.array_distinct("lots_qqs")), ",")],
-        "instance": lambda: ["uid"] if "uid" in df.columns else ["trs"],
+        "instance": lambda: ["uid"] if "uid" in df.columns else [F.to_json(F.struct(*[c for c in df.columns if c != pos]))],
     }
     if method not in keys:
         raise ValueError(f"no such method: {method!r}")
@@ -67,7 +69,7 @@ def sort_keys(key: str = "i,s,r,t", reverse: bool = False, pos: str = POS) -> li
     """(column, whether it descends) of one orderBy that equals stable sorts by each key in turn; the last key leads.
 
     Erroneous and undefined numbers come last, in a reversed key first. reverse turns the whole order round."""
-    f = trs_fields("trs")
+    f = trs_fields("trs")  # not looked at for places alone
     out: list[tuple[Column, bool]] = []
     for item in (x.strip().lower() for x in key.split(",")):
         m = _KEY.match(item)
@@ -134,24 +136,45 @@ def _ordered(df: DataFrame, pos: str) -> Column:
     return F.sort_array(F.collect_list(F.struct(pos, *rest))).alias("rows")
 
 
-def group_by(df: DataFrame, *attributes: str, into: DataFrame | None = None, pos: str = POS) -> DataFrame:
-    """(attributes, rows, first_pos): rows of equal attributes in order; groups are in order of first_pos. into: rows that come before."""
+def group_by(df: DataFrame, *attributes: str, into: DataFrame | None = None, pos: str = POS, sort_key: str | None = None, sort_reverse: bool = False) -> DataFrame:
+    """(attributes, rows, first_pos): rows of equal attributes in order; groups are in order of first_pos.
+
+    into: rows that come before. sort_key: the order of the rows in each group, as in custom_sort."""
     if into is not None:
         df = concat(into, df, pos=pos)
     df = df.withColumns({a: attribute(df, a) for a in attributes if a not in df.columns})
-    return df.groupBy(*attributes).agg(_ordered(df, pos), F.min(pos).alias("first_pos"))
+    if sort_key is None:
+        return df.groupBy(*attributes).agg(_ordered(df, pos), F.min(pos).alias("first_pos"))
+    names = [pos, *[c for c in df.columns if c != pos]]
+    ranked = with_rank(df, sort_key, sort_reverse, pos, list(attributes))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(*names).alias("r")))), lambda x: x["r"])
+    return ranked.groupBy(*attributes).agg(rows.alias("rows"), F.min(pos).alias("first_pos"))
+
+
+def group_by_nested(df: DataFrame, *attributes: str, into: DataFrame | None = None, pos: str = POS, sort_key: str | None = None, sort_reverse: bool = False) -> DataFrame:
+    """(first attribute, groups, first_pos): groups is a map from the second attribute to maps from the third, and so on to the ordered rows; keys are in order of first_pos."""
+    one, value = group_by(df, *attributes, into=into, pos=pos, sort_key=sort_key, sort_reverse=sort_reverse), "rows"
+    for k in range(len(attributes) - 1, 0, -1):
+        entries = F.sort_array(F.collect_list(F.struct("first_pos", F.struct(F.col(attributes[k]).alias("key"), F.col(value).alias("value")).alias("e"))), True)
+        if value != "rows":  # maps have no order, but no two entries share their first_pos
+            entries = F.array_sort(F.collect_list(F.struct("first_pos", F.struct(F.col(attributes[k]).alias("key"), F.col(value).alias("value")).alias("e"))), lambda a, b: F.when(a["first_pos"] < b["first_pos"], -1).when(a["first_pos"] > b["first_pos"], 1).otherwise(0))
+        one = one.groupBy(*attributes[:k]).agg(F.map_from_entries(F.transform(entries, lambda x: x["e"])).alias("groups"), F.min("first_pos").alias("first_pos"))
+        value = "groups"
+    return one
 
 
-def group_by_nested(df: DataFrame, outer: str, inner: str, pos: str = POS) -> DataFrame:
-    """(outer, groups): a map from inner to the ordered rows."""
-    one = group_by(df, outer, inner, pos=pos)
-    entries = F.sort_array(F.collect_list(F.struct("first_pos", inner, "rows")))
-    return one.groupBy(outer).agg(F.map_from_entries(F.transform(entries, lambda x: F.struct(x[inner].alias("key"), x["rows"].alias("value")))).alias("groups"), F.min("first_pos").alias("first_pos"))
+def unpack_group(grouped: DataFrame) -> DataFrame:
+    """The rows of group_by, or of group_by_nested of any depth, again."""
+    value = "groups" if "groups" in grouped.columns else "rows"
+    out = grouped.select(F.col(value).alias("_v"))
+    while isinstance(out.schema["_v"].dataType, T.MapType):
+        out = out.select(F.explode(F.map_values("_v")).alias("_v"))
+    return out.select(F.explode("_v").alias("_v")).select("_v.*")
 
 
-def unpack_group(grouped: DataFrame) -> DataFrame:
-    """The rows of group_by again."""
-    return grouped.select(F.explode("rows").alias("r")).select("r.*")
+def sort_nested(grouped: DataFrame, *attributes: str, key: str, reverse: bool = False, pos: str = POS) -> DataFrame:
+    """group_by_nested's result by these attributes, with the rows of every innermost group sorted."""
+    return group_by_nested(unpack_group(grouped), *attributes, pos=pos, sort_key=key, sort_reverse=reverse)
 
 
 def sort_grouped(grouped: DataFrame, key: str, reverse: bool = False, pos: str = POS) -> DataFrame:
@@ -263,19 +286,79 @@ def quick_desc(df: DataFrame, delim: str = ": ", max_len: int | None = None) ->
     return df.withColumn("quick_desc", c)
 
 
-def pretty_desc(df: DataFrame, word_sec: str = "Sec ", by: str | None = None, pos: str = POS) -> DataFrame:
+def lots_aliquots_desc(df: DataFrame, standard: DataFrame | bool = False, delim: str = ", ") -> DataFrame:
+    """df with desc made of the sorted lots and the largest aliquots of each row; standard: all, none, or those whose trs it has."""
+    if isinstance(standard, DataFrame):
+        df = df.join(standard.select("trs").distinct().withColumn("_std", F.lit(True)), "trs", "left").withColumn("_std", F.coalesce("_std", F.lit(False)))
+    else:
+        df = df.withColumn("_std", F.lit(standard))
+    return df.withColumn("desc", F.array_join(F.concat(sorted_lots("lots"), simplify_aliquots("qqs", F.col("_std"))), delim)).drop("_std")
+
+
+def quick_desc_lots_aliquots(df: DataFrame, delim: str = ": ", max_len: int | None = None, standard: DataFrame | bool = False) -> DataFrame:
+    return quick_desc(lots_aliquots_desc(df, standard), delim, max_len)
+
+
+def pretty_desc_lots_aliquots(df: DataFrame, word_sec: str = "Sec ", by: str | None = None, standard: DataFrame | bool = False, pos: str = POS) -> DataFrame:
+    return pretty_desc(lots_aliquots_desc(df, standard), word_sec, by, pos)
+
+
+#: Neighbouring rows of the whole list that one task counts.
+_STRETCH = 1 << 16
+
+
+def _runs(d: DataFrame, pos: str) -> DataFrame:
+    """d with `run`, the number of the row's run of neighbouring rows of equal _tr in the whole list; no task holds more than a stretch of it."""
+    d = cut(with_rank(d, "i", pos=pos))
+    before = d.select((F.col("rank") + 1).alias("rank"), F.col("_tr").alias("_last"), F.lit(True).alias("_some"))
+    d = d.join(before, "rank", "left").withColumn("_new", F.when(F.col("_some") & F.col("_last").eqNullSafe(F.col("_tr")), 0).otherwise(1)).drop("_last", "_some")
+    d = d.withColumn("_s", F.expr(f"rank div {_STRETCH}"))
+    sums = d.groupBy("_s").agg(F.sum("_new").alias("_n"))
+    sums = sums.withColumn("_upto", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.sum("_new").over(Window.partitionBy("_s").orderBy("rank"))
+    return d.withColumn("_in", inside).join(sums, "_s").withColumn("run", F.col("_upto") + F.col("_in")).drop("_s", "_in", "_upto", "_new", "rank")
+
+
+def pretty_desc(df: DataFrame, word_sec: str = "Sec ", by: str | None = None, pos: str = POS, justify_linebreaks: str | None = None) -> DataFrame:
     """A row for each run of neighbouring rows of equal Twp/Rge: (run, heading, body).
 
-    by: the column of the list that a row belongs to; every list is one window."""
+    by: the column of the list that a row belongs to; every list is one window. justify_linebreaks: what stands in front of later lines of a
+    description; without it they are aligned with the first one."""
+    jump = "\n" + (" " * (len(word_sec) + 4) if justify_linebreaks is None else justify_linebreaks)
     keys = [by] if by else []
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(pos)
     f = trs_fields("trs")
-    d = df.withColumn("_tr", F.concat(f["twp"], f["rge"])).withColumn("_new", (~F.lag("_tr").over(w).eqNullSafe(F.col("_tr"))).cast("int"))
-    d = d.withColumn("run", F.sum("_new").over(w)).withColumn("_line", F.concat(F.lit(word_sec), f["sec"], F.lit(": "), F.col("desc")))
+    d = df.withColumn("_tr", F.concat(f["twp"], f["rge"])).withColumn("_line", F.concat(F.lit(word_sec), f["sec"], F.lit(": "), F.replace("desc", F.lit("\n"), F.lit(jump))))
+    if by:
+        w = Window.partitionBy(by).orderBy(pos)
+        d = d.withColumn("_new", (~F.lag("_tr").over(w).eqNullSafe(F.col("_tr"))).cast("int")).withColumn("run", F.sum("_new").over(w))
+    else:
+        d = _runs(d.select(pos, "trs", "_tr", "_line"), pos)
     g = d.groupBy(*keys, "run").agg(F.first(pretty_twprge("trs"), ignorenulls=True).alias("heading"), F.sort_array(F.collect_list(F.struct(pos, "_line"))).alias("r"))
     return g.select(*keys, F.col("run").cast("bigint").alias("run"), "heading", F.array_join(F.transform("r", lambda x: x["_line"]), "\n").alias("body"))
 
 
+def tracts_to_str(df: DataFrame, *names: str, by: str | None = None, pos: str = POS) -> DataFrame:
+    """(by, pos, report): 'Tract i / n' and a line '<attribute> : <value>' for each attribute, names padded to the longest, later lines of a value under its first.
+
+    by: the column of the list that a row belongs to; without it the table is one list. Reports in order of pos, with empty lines between, are the whole text."""
+    wide = max(map(len, names)) + 1
+
+    def cell(n: str) -> Column:
+        c = attribute(df, n)
+        if n in df.columns and isinstance(df.schema[n].dataType, T.ArrayType):
+            c = F.array_join(F.flatten(c) if isinstance(df.schema[n].dataType.elementType, T.ArrayType) else c, ", ")
+        return F.concat(F.lit(f"{n:<{wide}}: "), F.replace(F.coalesce(c.cast("string"), F.lit("None")), F.lit("\n"), F.lit("\n" + " " * (wide + 2))))
+
+    d = df.select(*([by] if by else []), pos, F.concat_ws("\n", *[cell(n) for n in names]).alias("_cells"))
+    if by:
+        d = d.withColumns({"rank": F.row_number().over(Window.partitionBy(by).orderBy(pos)), "_n": F.count("*").over(Window.partitionBy(by))})
+    else:
+        d = with_rank(d, "i", pos=pos)
+        d = d.crossJoin(F.broadcast(d.agg(F.count("*").alias("_n"))))  # one row
+    head = F.concat(F.lit("Tract "), F.col("rank").cast("string"), F.lit(" / "), F.col("_n").cast("string"))
+    return d.select(*([by] if by else []), pos, F.concat_ws("\n", head, "_cells").alias("report"))
+
+
 def report(df: DataFrame, *names: str, by: str | None = None, pos: str = POS) -> DataFrame:
     """Text report: a line '<attribute> : <value>' for each attribute of each row, names padded to the longest."""
     wide = max(map(len, names))

@@ -58,11 +58,21 @@ class Options:
             if isinstance(f.default, bool) and not isinstance(v, bool):
                 raise ConfigError(f"{f.name} must be true or false: {v!r}")
 
+    @classmethod
+    def default(cls) -> Options:
+        """What holds where no options are given."""
+        return _default[0]
+
+    @classmethod
+    def set_default(cls, options: Options | None = None) -> None:
+        """Makes options hold for all plans built from now on in this process where none are given; None: the original ones."""
+        _default[0] = options or cls()
+
     @classmethod
     def parse(cls, text: str | None, base: Options | None = None) -> Options:
         """Options of a text such as 'n, w; clean_qq, qq_depth.3, segment=False'."""
         if text is None:
-            return base or cls()
+            return base or cls.default()
         if not isinstance(text, str):
             raise ConfigError(f"options must be text: {text!r}")
         found: dict = {}
@@ -83,7 +93,7 @@ class Options:
                 found[name] = value != "False"
             else:
                 raise ValueError(f"no such option: {item!r}")
-        return replace(base or cls(), **found)
+        return replace(base or cls.default(), **found)
 
     @classmethod
     def from_dict(cls, values: dict) -> Options:
@@ -111,3 +121,6 @@ class Options:
     def depths(self) -> tuple[int, int | None]:
         """(least, greatest) depth to which aliquots are divided; an exact depth is both."""
         return (self.qq_depth, self.qq_depth) if self.qq_depth is not None else (self.qq_depth_min, self.qq_depth_max)
+
+
+_default = [Options()]

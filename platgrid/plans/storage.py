@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Only in local mode, where driver and executors are one machine, is a temporary folder made when it is unset."""
+    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not have:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        have = getattr(shared_dir, "made", None) or tempfile.mkdtemp(prefix="platgrid-")
+        shared_dir.made = have
+    return have.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df by way of checkpoint(), in the folder of spark.checkpoint.dir; on one machine, if that is unset, in a temporary one."""
+    """df written to the shared folder by way of checkpoint(), its lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="platgrid-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

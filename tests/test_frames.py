@@ -177,3 +177,95 @@ def test_sort_keys_are_worked_out_once(spark):
     for d in (tail.custom_sort(df, "s.rev,r.ew,t.ns"), tail.with_rank(df, "s.rev,t.ns", by=["desc"])):
         plan = d._jdf.queryExecution().executedPlan().toString()
         assert not any("regexp" in line for line in plan.split("\n") if re.match(r"\W*Sort ", line))
+
+
+def test_nested_groups_and_sorted_groups(spark):
+    df = rows(spark, "1n1w03", "1n1w02", "2n1w01", "1n1w01", "2n1w05").withColumn("owner", F.when(F.col("pos") < 3, "a").otherwise("b"))
+    g = {r.owner: r.groups for r in tail.group_by_nested(df, "owner", "desc", "trs").collect()}
+    assert {k: {d: {t: [x.pos for x in v] for t, v in m.items()} for d, m in x.items()} for k, x in g.items()} == {
+        "a": {"d0": {"1n1w03": [0], "2n1w01": [2]}, "d1": {"1n1w02": [1]}},
+        "b": {"d1": {"1n1w01": [3]}, "d0": {"2n1w05": [4]}},
+    }
+    nested = tail.group_by_nested(df.where("pos > 1"), "owner", "desc", into=df.where("pos < 2"))
+    assert sorted(order(tail.unpack_group(nested))) == [0, 1, 4, 5, 6] and sorted(order(tail.unpack_group(tail.group_by_nested(df, "owner", "desc", "trs")))) == [0, 1, 2, 3, 4]
+    s = {r.owner: [x.pos for x in r.rows] for r in tail.group_by(df, "owner", sort_key="s.rev").collect()}
+    assert s == {"a": [0, 1, 2], "b": [4, 3]}
+    n = {r.owner: {k: [x.pos for x in v] for k, v in r.groups.items()} for r in tail.sort_nested(tail.group_by_nested(df, "owner", "desc"), "owner", "desc", key="s").collect()}
+    assert n == {"a": {"d0": [2, 0], "d1": [1]}, "b": {"d1": [3], "d0": [4]}}
+
+
+def test_text_reports(spark):
+    df = rows(spark, "1n1w03", "1n1w02", "2n1w01").withColumn("desc", F.concat("desc", F.lit("\nmore")))
+    got = [r.report for r in tail.tracts_to_str(df, "trs", "lots", "desc", "owner").orderBy("pos").collect()]
+    assert got[0] == "Tract 1 / 3\ntrs   : 1n1w03\nlots  : L0\ndesc  : d0\n        more\nowner : owner: n/a" and got[2].startswith("Tract 3 / 3\n")
+    by = tail.tracts_to_str(df.withColumn("g", F.col("pos") > 0), "trs", by="g").orderBy("pos").collect()
+    assert [r.report.split("\n")[0] for r in by] == ["Tract 1 / 1", "Tract 1 / 2", "Tract 2 / 2"]
+    assert [r.body for r in tail.pretty_desc(df).orderBy("run").collect()] == ["Sec 03: d0\n        more\nSec 02: d1\n        more", "Sec 01: d0\n        more"]
+    assert tail.pretty_desc(df, justify_linebreaks="\t").orderBy("run").first().body == "Sec 03: d0\n\tmore\nSec 02: d1\n\tmore"
+    quarters = df.withColumn("qqs", F.array(*[F.lit(q) for q in ("NENE", "NWNE", "SENE", "SWNE")]))
+    assert [r.quick_desc for r in tail.quick_desc_lots_aliquots(quarters).orderBy("pos").collect()] == ["1n1w03: L0, NE", "1n1w02: L1, NE", "2n1w01: L0, NE"]
+    whole = quarters.withColumn("qqs", F.array(*[F.lit(q) for q in ("NE", "NW", "SE", "SW")]))
+    assert [r.body for r in tail.pretty_desc_lots_aliquots(whole, standard=df.where("pos = 2")).orderBy("run").collect()][1] == "Sec 01: L0, ALL"
+
+
+def test_runs_over_stretches(spark, monkeypatch):
+    monkeypatch.setattr(tail, "_STRETCH", 4)
+    df = spark.range(40).select(F.col("id").alias("pos"), F.concat((F.expr("id div 3") % 5 + 1).cast("string"), F.lit("n1w01")).alias("trs"), F.lit("d").alias("desc"))
+    got = tail.pretty_desc(df.repartition(3)).orderBy("run").collect()
+    assert [(r.run, r.body.count("Sec")) for r in got] == [(k + 1, 3 if k < 13 else 1) for k in range(14)]
+
+
+def test_instances_are_the_default_of_tract_lists(spark):
+    df = rows(spark, "1n1w01", "1n1w01", "1n1w01")
+    assert order(tail.filter_duplicates(df)[0]) == [2]  # the second differs in desc and lots
+    assert sorted(order(tail.filter_duplicates(df.select("pos", "trs"))[0])) == [1, 2]
+
+
+def test_default_options(spark):
+    df = spark.createDataFrame([("T7, R9 Sec 1: NE/4",)], "text string")
+    try:
+        Options.set_default(Options(default_ns="s", default_ew="e"))
+        assert parse.tracts(df).first().trs == "7s9e01" and Options.parse("n").default_ew == "e"
+    finally:
+        Options.set_default()
+    assert parse.tracts(df).first().trs == "7n9w01"
+
+
+def test_csv_rows_of_a_table(spark, tmp_path):
+    (tmp_path / "in.csv").write_text('made by hand,,,\nowner,land,config,layout\n"Smith","T7N-R9W Sec 1: Lots 1 - 2,\nNE, Sec 2: ALL",clean_qq,\n"Jones","",,\n"Doe","N/2 of Sec 3, T7N-R9W",,desc_STR\n"Roe","T1N-R1W Sec 9: ALL",,junk\n')
+    how = dict(attributes=["trs", "lots", "qqs"], header_row=2, config_col="config", layout_col=4, include_uid=True)
+    got = [r for r in csvfiles.parse_csv_rows(spark, str(tmp_path / "in.csv"), "land", last_row=5, **how).orderBy("row", "orig_index").collect()]
+    assert [(r.row, r.owner, r.trs, r.lots, r.UID) for r in got] == [
+        (1, "made by hand", None, None, None),
+        (3, "Smith", "7n9w01", "L1, L2", "0001.a-b"),
+        (3, None, "7n9w02", "", "0001.b-b"),
+        (4, "Jones", None, None, None),
+        (5, "Doe", "7n9w03", "", "0002.a-a"),
+        (6, "Roe", None, None, None),
+    ]
+    got = csvfiles.parse_csv_rows(spark, str(tmp_path / "in.csv"), 2, ["trs", "lots"], "clean_qq", first_row=3, copy_data=True, include_unparsed=False, unpack=False).orderBy("row", "orig_index").collect()
+    assert [(r._c0, r.trs, r.lots) for r in got] == [("Smith", "7n9w01", '["L1","L2"]'), ("Smith", "7n9w02", "[]"), ("Doe", "7n9w03", "[]"), ("Roe", "1n1w09", "[]")]
+    lots = csvfiles.parse_csv_rows(spark, str(tmp_path / "in.csv"), 2, ["lots"], first_row=3, last_row=3, tract_level=True, include_unparsed=False).collect()
+    assert [(r.row, r.lots) for r in lots] == [(3, "L1, L2")]
+    with pytest.raises(ValueError):
+        csvfiles.parse_csv_rows(spark, str(tmp_path / "in.csv"), 0)
+
+
+def test_tract_writer(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, DESC), (2, 1, "T1N-R1W Sec 4: ALL")], "id int, n int, text string")
+    got = parse.tracts(df)
+    with csvfiles.TractWriter(spark, str(tmp_path / "a"), ["trs"], nice=True, plus=["note"], uid=7) as w:
+        assert w.is_open and w.write(got, ["x"], by="n") == 5 and w.uid == 9
+        assert w.write(None) == 0 and w.uid == 10
+        assert w.write(got.where("n = 1"), ["y"]) == 1
+    assert not w.is_open
+    with pytest.raises(RuntimeError):
+        w.write(got)
+    w.open()
+    assert w.write(got.where("n = 1")) == 1
+    back = [tuple(r) for r in spark.read.csv(str(tmp_path / "a"), header=True).orderBy("UID").collect()]
+    assert back == [(f"0007.{c}-d", t, "x") for c, t in zip("abcd", ("7n9w01", "7n9w13", "7n9w14", "7n9w15"))] + [("0008.a-a", "1n1w04", "x"), ("0010.a-a", "1n1w04", "y"), ("0011.a-a", "1n1w04", None)]
+    w = csvfiles.TractWriter(spark, str(tmp_path / "b"), ["trs", "desc"], header="once")
+    w.write(got.coalesce(1))
+    files = sorted(p.name for p in (tmp_path / "b").glob("*.csv"))
+    assert files[0] == "0-headers.csv" and "".join((tmp_path / "b" / f).read_text() for f in files).splitlines()[:2] == ["trs,desc", '7n9w01,"Lots 1 - 3, S/2NE/4"']
