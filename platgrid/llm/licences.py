@@ -1,12 +1,12 @@
 """License scans: a trained paragraph classifier names licence families; template comparison confirms.
 
 A paragraph is a line; of a line of more than UNIT words every stretch of UNIT words, half overlapping, is judged, and the
-best one of each family counts: a confirmed one before others, then the more probable one.  Features are hashed runs of one to three words.  The classifier is multinomial logistic
+best one of each family counts: a confirmed one before others, then the more probable one.  Features are hashed runs of one to three words, each
+counted and divided by the root of their number, so that the scores of all stretches come from running sums.  The classifier is multinomial logistic
 regression over the families and the class `unknown`, trained on variations of the templates and on prose, notices and shuffled words that are
 no licence; a held-out part sets the temperature that calibrates its probabilities and the least probability of a
-family, below which a paragraph is unknown.  A stretch with fewer than LEAST_ANCHORS words that are typical of some template is
-unknown without further work.  A prediction is confirmed if the stretch has LEAST_SHARE of the pairs of neighbouring words of a template of
-that family, or if that share of the stretch's own pairs come from it.
+family, below which a paragraph is unknown.  Every stretch is classified.  A prediction is confirmed if the stretch has LEAST_SHARE of the pairs of neighbouring words of a template of
+that family, or if that share of the stretch's own pairs come from it; one with less than LEAST_HINT of either is refuted, and the stretch unknown.
 
 Defined results: a row for each line and each known family found in it: doc_id, line, family, probability, template similarity, confirmed.
 Null and empty texts give nothing; rows of null doc_id are scanned and reported with null.  Repeated rows are
@@ -29,8 +29,8 @@ from .common import small_batches, table
 
 UNIT = 24
 BITS = 14
-LEAST_ANCHORS = 2
 LEAST_SHARE = 0.6
+LEAST_HINT = 0.2
 #: Share of held-out texts without a licence that may pass as a family.
 FALSE_ALARMS = 0.002
 
@@ -116,7 +116,6 @@ the foundation gave a grant to the work of the author | any warranty claim must
 the university has a common room and a creative writing class | permission to enter was granted by the guard | the notice on the door said closed | all copies of the book were sold
 the party shall notify the other party in writing | the license plate of the car was lost | attribution of the painting to the master is in doubt | international flights were cancelled
 terms of the contract were agreed in the second version | restriction enzymes cut the strand at a known site | the court granted the motion without a hearing | he modified the design and published it""".replace("\n", " | ").split(" | ")
-_COMMON = set("about above after also been both either from have into later more must only other over shall should such than that their then there they this those under unless were which with without your".split())
 
 
 def _tokens(text: str) -> tc.Tokens:
@@ -132,10 +131,9 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def vector(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values (length 1) of the words with these hashes."""
+    """Places and values of the words with these hashes."""
     places, count = np.unique(np.concatenate([_runs(h, n) for n in (1, 2, 3) if len(h) >= n] or [h]) >> np.uint64(64 - BITS), return_counts=True)
-    v = np.sqrt(count)
-    return places.astype(np.int64), v / max(1e-9, float(np.sqrt((v * v).sum())))
+    return places.astype(np.int64), count / np.sqrt(max(1, count.sum()))
 
 
 class Model:
@@ -162,9 +160,6 @@ class Model:
         self.least = max(0.5, float(np.quantile(p, 1 - FALSE_ALARMS)))
         self.held_out = float(((score.argmax(1) == y[held])).mean())
         self.pairs = [[(k, np.unique(_runs(_tokens(t).hash, 2))) for k, t in enumerate(TEMPLATES[f])] for f in TEMPLATES]
-        words = {w for ts in TEMPLATES.values() for t in ts for w in t.lower().replace("-", " ").replace("/", " ").replace(".", " ").replace('"', " ").replace("(", " ").replace(")", " ").replace(",", " ").replace(":", " ").replace(";", " ").split()}
-        anchor = sorted(w for w in words if (len(w) >= 4 or w in ("mit", "gnu", "gpl", "bsd", "mpl", "isc", "cc", "by", "sa", "nc")) and w not in _COMMON)
-        self.anchors = np.unique(np.concatenate([_tokens(w).hash for w in anchor]))
 
     @staticmethod
     def _examples(rng: np.random.Generator) -> tuple[list[str], list[int]]:
@@ -229,6 +224,23 @@ class Model:
             b -= 0.5 * db / np.sqrt(gb)
         return w, b
 
+    def judge_all(self, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """judge() of each range of hashes, in one go."""
+        score, runs = np.zeros((len(start), len(FAMILIES))), np.zeros(len(start))
+        for n in (1, 2, 3):
+            if len(h) < n:
+                break
+            upto = np.zeros((len(h) - n + 2, len(FAMILIES)))
+            np.cumsum(self.w[(_runs(h, n) >> np.uint64(64 - BITS)).astype(np.int64)], axis=0, out=upto[1:])
+            last = np.maximum(start, stop - n + 1)
+            score += upto[last] - upto[start]
+            runs += last - start
+        p = self._softmax((score / np.sqrt(np.maximum(1, runs))[:, None] + self.b) / self.temperature)
+        best = p[:, :-1].argmax(1)
+        top, none = p[np.arange(len(p)), best], p[:, -1]
+        sure = (top >= self.least) & (top > none) & (runs > 0)
+        return np.where(sure, best, len(FAMILIES) - 1), np.where(sure, top, none)
+
     def judge(self, h: np.ndarray) -> tuple[int, float]:
         """The family (the last is unknown) of words with these hashes, and its probability."""
         p, v = vector(h)
@@ -267,19 +279,17 @@ def scan_column(column: pa.Array, m: Model | None = None) -> Iterator[tuple[int,
         if len(bounds) < 2:
             continue
         t = tc.Tokens(own, bounds)
-        hit = m.anchors[np.searchsorted(m.anchors, t.hash).clip(max=len(m.anchors) - 1)] == t.hash
-        upto = np.concatenate([[0], np.cumsum(hit)])
         units = np.maximum(1, -(-(t.count - UNIT) // (UNIT // 2)) + 1)
         line = np.repeat(np.arange(len(units)), units)
         k = np.arange(len(line)) - np.repeat(np.cumsum(units) - units, units)
         start = t.first[line] + k * (UNIT // 2)
         stop = np.minimum(start + UNIT, t.first[line + 1])
         best: dict[tuple[int, int], tuple[bool, float, float]] = {}
-        for u in np.flatnonzero(upto[stop] - upto[start] >= LEAST_ANCHORS).tolist():
-            h = t.hash[start[u] : stop[u]]
-            family, p = m.judge(h)
-            if family < len(FAMILIES) - 1:
-                s = m.similarity(h, family)
+        family_of, p_of = m.judge_all(t.hash, start, stop)
+        for u in np.flatnonzero(family_of < len(FAMILIES) - 1).tolist():
+            h, family, p = t.hash[start[u] : stop[u]], int(family_of[u]), float(p_of[u])
+            s = m.similarity(h, family)
+            if s >= LEAST_HINT:
                 have = best.get((line[u], family))
                 if have is None or (round(s, 6) >= LEAST_SHARE, p) > have[:2]:
                     best[line[u], family] = (round(s, 6) >= LEAST_SHARE, p, s)

@@ -30,8 +30,8 @@ from .common import small_batches, stored, table
 
 BLOCK = 1024
 SEED = "mix-1"
-#: Ranges of the shuffle by which sums are taken in two levels; slots in one range of the schedule.
-RANGES = 4096
+#: Hex digits of the shuffle that make a range: a million ranges for each source, so that a third of 100 TB has 33 MB in each; slots in one range of the schedule.
+RANGE_DIGITS = 5
 SLOT_RANGE = 65536
 GOLDEN = 2654435769  # 2**32 / golden ratio
 PART = 1 << 20
@@ -49,21 +49,21 @@ def _prepared(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("s0"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("n", F.regexp_count("text", F.lit(r"[^ \t\n\r]+")).cast("bigint")).where("n > 0")
     d = d.withColumn("k", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), F.lit(":" + SEED))))
-    return d.withColumn("r", F.conv(F.substring("k", 1, 3), 16, 10).cast("int"))  # RANGES = 16**3
+    return d.withColumn("r", F.conv(F.substring("k", 1, RANGE_DIGITS), 16, 10).cast("int"))
 
 
 def blocks(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(s, s0, block, n_tokens, doc_ids, text) of all blocks, and (s, s0, tokens, blocks) of the sources.
 
     The texts are shuffled twice: by range of the shuffle for the running sums, and by block.  The sums by range are stored;
-    they have at most RANGES rows for each source."""
+    they have at most 16**RANGE_DIGITS rows for each source, and are merged, not broadcast."""
     d = _prepared(docs)
     ranges = stored(d.groupBy("s", "s0", "r").agg(F.sum("n").alias("sum")), "mix-ranges")
     sizes = ranges.groupBy("s", "s0").agg(F.sum("sum").alias("tokens")).withColumn("blocks", F.expr(f"(tokens + {block - 1}) div {block}"))
     before = _offset(ranges, ["s", "s0"], "r", "sum", "before").drop("sum")
     inside = Window.partitionBy("s", "s0", "r").orderBy("k", "text").rowsBetween(Window.unboundedPreceding, -1)
     at = d.select("s", "s0", "r", "doc_id", "text", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("inside"))
-    at = at.join(before, ["s", "s0", "r"]).select("s", "s0", "doc_id", "text", (F.col("before") + F.col("inside")).alias("start"))
+    at = at.join(before.hint("merge"), ["s", "s0", "r"]).select("s", "s0", "doc_id", "text", (F.col("before") + F.col("inside")).alias("start"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,7 +103,7 @@ def schedule(sizes: DataFrame) -> DataFrame:
     of = slots.join(bound, "part").where("u >= low and u < high").select("slot", "range", "s", "s0")
     before = _offset(of.groupBy("s", "s0", "range").agg(F.count("*").alias("c")), ["s", "s0"], "range", "c", "before").drop("c")
     inside = F.row_number().over(Window.partitionBy("s", "s0", "range").orderBy("slot")) - 1
-    return of.withColumn("inside", inside).join(before, ["s", "s0", "range"]).select("slot", "s", "s0", (F.col("before") + F.col("inside")).alias("k"))
+    return of.withColumn("inside", inside).join(before.hint("merge"), ["s", "s0", "range"]).select("slot", "s", "s0", (F.col("before") + F.col("inside")).alias("k"))
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:

@@ -10,7 +10,7 @@ gives thousands of edges, not millions; the groups are the connected components.
 Defined results: texts without a word (null, empty, punctuation only) have no fingerprint and never count as
 copies.  Rows of null doc_id are never compared and always kept.  Equal texts under several ids, and
 repeated rows of one id, are copies: of a group stays the row of the least doc_id (of repeated rows of that
-id, one).  Extra columns are carried through; internal names start with "_sh_".  Empty tables give empty results.
+id, one).  Ids may be of any type that has an order.  Of repeated rows that differ in other columns any one stays.  Extra columns are carried through; internal names start with "_sh_".  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textcore as tc
 from .common import checkpoint, small_batches, stored, table
@@ -148,6 +149,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the least doc_id of its group."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _groups(docs, radius)
+    # other ids are numbered, and the numbers stored, as tiles hold whole numbers
+    ids = stored(docs.select("doc_id").where("doc_id is not null").distinct().withColumn("_n", F.monotonically_increasing_id()), "simhash-ids")
+    found = _groups(docs.join(ids, "doc_id").select(F.col("_n").alias("doc_id"), "text"), radius).toDF("_n", "_g").join(ids, "_n")
+    return found.select("doc_id", "_g").join(found.groupBy("_g").agg(F.min("doc_id").alias("group_id")), "_g").select("doc_id", "group_id")
+
+
+def _groups(docs: DataFrame, radius: int) -> DataFrame:
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
@@ -162,8 +172,6 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
             count = np.bitwise_count(f[keep]).sum(1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep)), fp, pa.array(count)], names=["doc_id", "fp", "pop"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.BinaryType()), T.StructField("pop", T.IntegerType())])
     fps = stored(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(prints, schema).distinct(), "simhash")
     # one node for each distinct fingerprint, named by its least document
@@ -201,7 +209,7 @@ def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
             plan.select("tile", "tile2")
             .join(packed.select("tile", "fps", "ids"), "tile")
             .join(other.select("tile2", "fps2", "ids2"), "tile2")
-            .repartition(min(2000, max(12, tiles * tiles // 8)), F.xxhash64("tile", "tile2"))
+            .repartition(max(12, tiles * tiles // 8), F.xxhash64("tile", "tile2"))
         )
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ cross-colour, subtract-green and palette transforms are undone in reverse order.
 
 Defined results: every row gives a row.  status is `ok`, or says why there are no pixels: `null`, `empty`, `container` (no
 RIFF WEBP file with a VP8L chunk), `header`, `truncated` (the data end early), `corrupt` (codes or references that cannot be) or
-`size` (more pixels than the bound that the caller sets, none by default).  Pixels are row by row, each a signed 32-bit ARGB.  Repeated rows are
+`size` (more pixels than most_pixels, MOST_PIXELS by default).  Pixels are row by row, each a signed 32-bit ARGB.  Repeated rows are
 decoded each; extra columns pass through in front, also those called width, height, pixels or status, which are replaced.
 Empty tables give empty results.
 """
@@ -13,6 +13,7 @@ Empty tables give empty results.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -139,7 +140,7 @@ def _value(b: _Bits, code: int) -> int:
     return ((2 + (code & 1)) << more) + b.read(more) + 1
 
 
-def _image(b: _Bits, width: int, height: int, main: bool) -> list[int]:
+def _image(b: _Bits, width: int, height: int, main: bool) -> array:
     """Pixels of an entropy-coded image; main: it may have several groups of codes."""
     cache_bits = b.read(4) if b.read(1) else 0
     if cache_bits > 11:
@@ -152,7 +153,7 @@ def _image(b: _Bits, width: int, height: int, main: bool) -> list[int]:
         groups = max(meta) + 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(b, n) for n in sizes] for _ in range(groups)]
-    out: list[int] = []
+    out = array("I")  # four bytes a pixel, however few bits stand for it
     cache = [0] * (1 << cache_bits) if cache_bits else None
     cached, down, total = 0, 32 - cache_bits, width * height
     green, red, blue, alpha, far = codes[0]
@@ -278,7 +279,11 @@ def cross_colour(p: np.ndarray, e: np.ndarray, sign: int) -> np.ndarray:
     return (p & 0xFF00FF00) | new_red << 16 | new_blue
 
 
-def decode(data: bytes, most_pixels: int | None = None) -> tuple[int, int, np.ndarray]:
+#: Pixels of a picture at most, unless told otherwise: a few bytes can stand for 268 million.
+MOST_PIXELS = 1 << 24
+
+
+def decode(data: bytes, most_pixels: int | None = MOST_PIXELS) -> tuple[int, int, np.ndarray]:
     """(width, height, pixels as uint32 ARGB); raises Broken."""
     if len(data) < 20 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise Broken("container")
@@ -337,7 +342,7 @@ def decode(data: bytes, most_pixels: int | None = None) -> tuple[int, int, np.nd
     return width, height, p.astype(np.uint32)
 
 
-def decode_column(media: DataFrame, column: str = "webp", most_pixels: int | None = None) -> DataFrame:
+def decode_column(media: DataFrame, column: str = "webp", most_pixels: int | None = MOST_PIXELS) -> DataFrame:
     """media with width, height, pixels (array of int) and status in place of the column; one pass without a shuffle."""
     new = [("width", T.IntegerType()), ("height", T.IntegerType()), ("pixels", T.ArrayType(T.IntegerType())), ("status", T.StringType())]
     rest = [c for c in media.columns if c != column and c not in {n for n, _ in new}]
