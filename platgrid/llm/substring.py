@@ -7,10 +7,11 @@ Of the hashes of all windows of WINDOW words winnowing keeps the least of every
 WINDOW + SPAN - 1 = LEAST_WORDS words keep a common one.  An index entry is such a hash, the hash of its
 neighbourhood (WINDOW words, and SPAN - 1 more to either side) and the first place that has both.  The index is a list of immutable runs,
 each a table bucketed and sorted by the window hash; a new batch is merge-joined with every run without moving the
-runs, what is new becomes a run of its own, and when more than FANOUT runs have gathered, they are compacted to one.
+runs, what is new becomes a run of its own, and when more than FANOUT runs of a level have gathered, they are compacted to one of the next level.
+FingerprintIndex keeps its runs from session to session, and gives the verified passages of each batch.
 
-A place whose neighbourhood is known is a candidate with the known place.  Where a hash has several neighbourhoods, the hashes of all
-windows of LEAST_WORDS words around their first places find the other candidates, so nothing depends on which place
+A place whose neighbourhood is known is a candidate with the known place.  Where a hash gets a further neighbourhood, the hashes of all
+windows of LEAST_WORDS words around the first places of all of them find the other candidates, so nothing depends on which place
 happens to be first.  Every candidate is verified by comparing the words, and widened as far as they agree.
 
 Defined results: a row is a run of equal words in doc_id and an earlier source_doc, [start_word, end_word) in words of doc_id; together the
@@ -22,8 +23,10 @@ handled whole; extra columns are ignored, and empty tables give empty results.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,67 +98,129 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of (h, near, doc_id, pos), each (h, near) in one run only."""
+    """Runs of (h, near, doc_id, pos), each (h, near) in one run only; `folder` is named in the shared folder and opened again by its name.
 
-    def __init__(self, spark: SparkSession, buckets: int = BUCKETS, fanout: int = FANOUT):
+    The runs stand in a manifest of the folder, which is replaced by a rename once a run is written, so a session that is lost leaves the
+    index as it was before the batch.  One session at a time may ingest.  Runs of a level are compacted to one of the next level when there are more than
+    `fanout`, so an entry is written again once a level: a number of times that grows with the logarithm of the batches."""
+
+    def __init__(self, spark: SparkSession, buckets: int = BUCKETS, fanout: int = FANOUT, folder: str | None = None):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.runs: list[str] = []
+        self.path = f"{shared_dir(spark)}/{folder or 'substring-' + uuid.uuid4().hex}"
+        self.runs: list[tuple[str, int]] = []
+        self.version = 0
+        self.schema: str | None = None
+        names = [f.getPath().getName() for f in self._fs().listStatus(self._at(""))] if self._fs().exists(self._at("")) else []
+        versions = sorted(int(n.split("-")[1]) for n in names if n.startswith("manifest-"))
+        if versions:
+            self.version = versions[-1]
+            have = json.loads("".join(r[0] for r in spark.read.text(f"{self.path}/manifest-{self.version}").collect()))
+            self.buckets, self.schema, self.runs = have["buckets"], have["schema"], [(n, k) for n, k in have["runs"]]
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+
+    def _fs(self):
+        return self._at("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commit(self, runs: list[tuple[str, int]]) -> None:
+        """Makes these the runs of the index, and removes what no longer counts."""
+        fs, new = self._fs(), self._at(f"manifest-{self.version + 1}")
+        out = fs.create(self._at("next"), True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "schema": self.schema, "runs": runs}).encode()))
+        out.close()
+        if not fs.rename(self._at("next"), new):
+            raise RuntimeError(f"another session has written to {self.path}")
+        gone = [n for n, _ in self.runs if n not in {n for n, _ in runs}]
+        if self.version:
+            fs.delete(self._at(f"manifest-{self.version}"), False)
+        self.version, self.runs = self.version + 1, runs
+        for n in gone:
+            self._remove(n)
 
     def _write(self, rows: DataFrame) -> str:
         name = f"substring_{uuid.uuid4().hex}"
         rows = rows.repartition(self.buckets, "h")
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
+    def _run(self, name: str) -> DataFrame:
+        """The run's table; a session that has not written it first names it in its own catalog."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({self.schema}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
+
     def _remove(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self.spark)}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._fs().delete(self._at(name), True)
+
+    def ingest(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(candidates, contested) of the batch, which joins the index.
 
-    def ingest(self, batch: DataFrame) -> DataFrame:
-        """Candidates (doc_id, pos, src, src_pos) of the batch whose neighbourhood is known or comes again in it."""
+        Candidates (doc_id, pos, src, src_pos) have a neighbourhood that is known or comes again in the batch; contested (doc_id, pos, new) are
+        the first places of every hash that gets one more neighbourhood by this batch and has others, whether in a run or in the batch."""
         new = self._write(_fingerprints(batch))
         rows = self.spark.table(new)
+        self.schema = self.schema or ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        runs = [self._run(n) for n, _ in self.runs]
         known = F.lit(None)
-        for k, run in enumerate(self.runs):
-            own = self.spark.table(run).select(F.col("h"), F.col("near"), F.struct("doc_id", "pos").alias(f"k{k}"))
+        for k, run in enumerate(runs):
+            own = run.select(F.col("h"), F.col("near"), F.struct("doc_id", "pos").alias(f"k{k}"))
             rows = rows.join(own.hint("merge"), ["h", "near"], "left")
             known = F.col(f"k{k}") if k == 0 else F.coalesce(known, F.col(f"k{k}"))
         least = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("h", "near"))
-        rows = rows.select("h", "near", "doc_id", "pos", known.alias("known") if self.runs else F.lit(None).cast(rows.select(F.struct("doc_id", "pos")).schema[0].dataType).alias("known"))
+        rows = rows.select("h", "near", "doc_id", "pos", known.alias("known") if runs else F.lit(None).cast(rows.select(F.struct("doc_id", "pos")).schema[0].dataType).alias("known"))
         rows = rows.withColumn("first", F.coalesce("known", least))
         found = rows.where("doc_id <> first.doc_id").select("doc_id", "pos", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
         found = stored(found, "substring-found")
-        fresh = rows.where("known is null and first = struct(doc_id, pos)").select("h", "near", "doc_id", "pos").dropDuplicates(["h", "near"])
-        self.runs.append(self._write(fresh))
+        fresh = self._write(rows.where("known is null and first = struct(doc_id, pos)").select("h", "near", "doc_id", "pos").dropDuplicates(["h", "near"]))
         self._remove(new)
-        if len(self.runs) > self.fanout:
-            self.compact()
-        return found
-
-    def entries(self) -> DataFrame:
-        """All entries, as one bucketed table.
-
-        A window over a union of bucketed tables would be taken bucket by bucket of each table, not over the union."""
-        if len(self.runs) > 1:
-            self.compact()
-        return self.spark.table(self.runs[0])
+        own = self.spark.table(fresh)
+        # a hash of the batch's own entries that a run has too has another neighbourhood there
+        met = None
+        for run in runs:
+            part = run.join(own.select("h").distinct().hint("merge"), "h", "left_semi").select("h", "doc_id", "pos", F.lit(False).alias("new"))
+            met = part if met is None else met.union(part)
+        several = own.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("h")
+        if met is not None:
+            met = stored(met, "substring-met")
+            several = several.union(met.select("h")).distinct()
+        places = own.join(several, "h", "left_semi").select("doc_id", "pos", F.lit(True).alias("new"))
+        places = stored(places if met is None else places.union(met.select("doc_id", "pos", "new")), "substring-contested")
+        self._commit([*self.runs, (fresh, 0)])
+        self.compact()
+        return found, places
+
+    def passages(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
+        """Verified passages of the batch's documents, which join the index; texts (doc_id, text) are all documents so far, those of the batch among them."""
+        small_batches(self.spark)
+        batch, texts = (d.select("doc_id", "text").where("doc_id is not null and text is not null") for d in (batch, texts))
+        found, places = self.ingest(batch)
+        return _verified(found.unionByName(_contested(places, texts)), texts)
 
     def compact(self) -> None:
-        """All runs become one; the old ones are removed once it is written."""
-        rows = self.spark.table(self.runs[0])
-        for r in self.runs[1:]:
-            rows = rows.unionByName(self.spark.table(r))
-        one, old = self._write(rows), self.runs
-        self.runs = [one]
-        for r in old:
-            self._remove(r)
-
-
-def _contested(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
-    """Candidates from windows of LEAST_WORDS words, around hashes that have several neighbourhoods."""
-    several = F.min("doc_id").over(Window.partitionBy("h")) != F.max("doc_id").over(Window.partitionBy("h"))
-    places = index.entries().withColumn("several", several).where("several").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+        """Of each level with more than `fanout` runs, the runs become one of the next level; they are removed once it stands in the manifest."""
+        level = 0
+        while level <= max((k for _, k in self.runs), default=-1):
+            own = [n for n, k in self.runs if k == level]
+            if len(own) > self.fanout:
+                rows = self._run(own[0])
+                for n in own[1:]:
+                    rows = rows.unionByName(self._run(n))
+                self._commit([r for r in self.runs if r[0] not in own] + [(self._write(rows), level + 1)])
+            level += 1
+
+    def remove(self) -> None:
+        """Deletes the index."""
+        for n, _ in self.runs:
+            self._remove(n)
+        self._fs().delete(self._at(""), True)
+        self.runs, self.version = [], 0
+
+
+def _contested(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates of the new places (doc_id, pos, new) from windows of LEAST_WORDS words around hashes that have several neighbourhoods."""
+    places = places.groupBy("doc_id").agg(F.collect_set("pos").alias("at"), F.max("new").alias("new"))
     kind = texts.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +235,13 @@ def _contested(index: FingerprintIndex, texts: DataFrame) -> DataFrame:
                 start = np.unique(start[ok])
                 row = np.searchsorted(t.first, start, "right") - 1
                 w = t.span_hash(start, start + LEAST_WORDS)
-                yield pa.RecordBatch.from_arrays([_i64(w), b.column("doc_id").take(pa.array(row + a)), pa.array((start - t.first[row]).astype(np.int32))], names=["w", "doc_id", "pos"])
+                of = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([_i64(w), b.column("doc_id").take(of), pa.array((start - t.first[row]).astype(np.int32)), b.column("new").take(of)], names=["w", "doc_id", "pos", "new"])
 
-    windows = texts.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(run, T.StructType([T.StructField("w", T.LongType()), kind, T.StructField("pos", T.IntegerType())]))
-    first = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("w"))
-    return windows.withColumn("first", first).where("doc_id <> first.doc_id").select("doc_id", "pos", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
+    schema = T.StructType([T.StructField("w", T.LongType()), kind, T.StructField("pos", T.IntegerType()), T.StructField("new", T.BooleanType())])
+    windows = texts.join(places, "doc_id").select("doc_id", "text", "at", "new").mapInArrow(run, schema)
+    first = F.min(F.struct("new", "doc_id", "pos")).over(Window.partitionBy("w"))
+    return windows.withColumn("first", first).where("new and doc_id <> first.doc_id").select("doc_id", "pos", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
 
 
 def _verified(found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -291,12 +358,15 @@ def passages(docs: DataFrame, batches: int = BATCHES, buckets: int = BUCKETS) ->
     if texts.isEmpty():
         kind = docs.schema["doc_id"].dataType.simpleString()
         return spark.createDataFrame([], f"doc_id {kind}, start_word int, end_word int, source_doc {kind}, source_start int")
-    index, found = FingerprintIndex(spark, buckets), None
+    index, all_found, all_places = FingerprintIndex(spark, buckets), [], []
     for batch in _batches(texts, batches):
-        own = index.ingest(batch)
-        found = own if found is None else found.unionByName(own)
+        found, places = index.ingest(batch)
+        all_found.append(found)
+        # the documents are verified together below, in order of doc_id, so all places are new
+        all_places.append(places.withColumn("new", F.lit(True)))
+    index.remove()
     texts = texts.where("text is not null")
-    return _verified(found.unionByName(_contested(index, texts)), texts)
+    return _verified(reduce(DataFrame.unionByName, all_found).unionByName(_contested(reduce(DataFrame.union, all_places), texts)), texts)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

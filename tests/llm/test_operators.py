@@ -689,6 +689,34 @@ def test_substring_brute_force(spark):
     assert covered(substring.passages(table(spark, rows), 1)) == want
 
 
+def test_substring_index_is_opened_again(spark):
+    rng = random.Random(14)
+    pool = [prose(rng, n) for n in (50, 51, 60, 130)] + ["ab cd " * 60]
+    texts = [" ".join(p for _ in range(rng.randrange(0, 4)) for p in (prose(rng, rng.randrange(0, 30)), rng.choice(pool))) for _ in range(40)]
+    ids = rng.sample(range(1000), 40)  # batches do not come in order of doc_id
+    rows = sorted(((k // 8, i, t) for k, (i, t) in enumerate(zip(ids, texts))))
+    want = {rows[k][1]: v for k, v in passages_brute([(k, t) for k, (_, _, t) in enumerate(rows)]).items()}
+    got, seen, folder = {}, [], f"test-index-{rng.random()}"
+    for k in range(5):
+        index = substring.FingerprintIndex(spark, 4, 2, folder)
+        assert index.version == (0 if k == 0 else max(index.version, 1)) and index.buckets == 4
+        batch = table(spark, [(i, t, "a") for b, i, t in rows if b == k])
+        seen = batch if k == 0 else seen.union(batch)
+        place = {i: n for n, (_, i, _) in enumerate(rows)}
+        for r in index.passages(batch, seen).collect():
+            assert place[r.source_doc] < place[r.doc_id]
+            got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        for name, _ in index.runs:  # the next session knows nothing of these tables
+            spark.sql(f"DROP TABLE {name}")
+    assert got == want and len(want) > 15
+    assert sorted(level for _, level in index.runs) == [0, 0, 1]
+    again = index.passages(table(spark, [(5000, texts[0], "a"), (5001, None, "a")]), seen.union(table(spark, [(5000, texts[0], "a")])))
+    assert {r.doc_id for r in again.collect()} <= {5000}
+    assert index.passages(empty(spark), seen).count() == 0
+    index.remove()
+    assert substring.FingerprintIndex(spark, 4, 2, folder).version == 0
+
+
 def test_substring_awkward(spark):
     df = awkward(spark)
     assert substring.passages(df).count() == 0  # nothing stands under two ids
