@@ -88,22 +88,23 @@ def blocks(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
 
 
 def schedule(sizes: DataFrame) -> DataFrame:
-    """(slot, s, s0, k) of sizes (s, s0, blocks, weight): which source each slot has, and its rank in it."""
+    """(slot, s, s0, blocks, k) of sizes (s, s0, blocks, weight): which source each slot has, with its blocks, and the slot's rank in it."""
     spark = sizes.sparkSession
     w = Window.orderBy("s0", "s").rowsBetween(Window.unboundedPreceding, 0)  # a row for each source
     total = sizes.agg(F.sum("weight").alias("weights"), F.sum("blocks").alias("slots"))
     bound = sizes.withColumn("upto", F.sum("weight").over(w)).crossJoin(total).where("weight > 0")
-    bound = bound.select("s", "s0", F.expr("((upto - weight) * 4294967296) div weights").alias("low"), F.expr("(upto * 4294967296) div weights").alias("high"))
+    bound = bound.select("s", "s0", "blocks", F.expr("((upto - weight) * 4294967296) div weights").alias("low"), F.expr("(upto * 4294967296) div weights").alias("high"))
     # a source stands under each of the 4096 parts of the unit interval that its share touches, so points find it by an equal join
     bound = bound.where("high > low").withColumn("part", F.explode(F.expr(f"sequence(low div {PART}, (high - 1) div {PART})")))
     slots = total.where("weights > 0 and slots > 0").select(F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_RANGE})")).alias("range"), "slots")
     slots = slots.repartition(8 * spark.sparkContext.defaultParallelism, "range")
     slots = slots.select("range", F.explode(F.expr(f"sequence(range * {SLOT_RANGE}, least(slots, (range + 1) * {SLOT_RANGE}) - 1)")).alias("slot"))
     slots = slots.withColumn("u", F.expr(f"((slot % 4294967296) * {GOLDEN}) % 4294967296")).withColumn("part", F.expr(f"u div {PART}"))
-    of = slots.join(bound, "part").where("u >= low and u < high").select("slot", "range", "s", "s0")
+    # Spark takes the size of the slots from before they are exploded and would broadcast them
+    of = slots.join(bound.hint("shuffle_hash"), "part").where("u >= low and u < high").select("slot", "range", "s", "s0", "blocks")
     before = _offset(of.groupBy("s", "s0", "range").agg(F.count("*").alias("c")), ["s", "s0"], "range", "c", "before").drop("c")
     inside = F.row_number().over(Window.partitionBy("s", "s0", "range").orderBy("slot")) - 1
-    return of.withColumn("inside", inside).join(before.hint("merge"), ["s", "s0", "range"]).select("slot", "s", "s0", (F.col("before") + F.col("inside")).alias("k"))
+    return of.withColumn("inside", inside).join(before.hint("merge"), ["s", "s0", "range"]).select("slot", "s", "s0", "blocks", (F.col("before") + F.col("inside")).alias("k"))
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
@@ -111,9 +112,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLO
     small_batches(docs.sparkSession)
     b, sizes = blocks(docs, block)
     sizes = sizes.withColumn("weight", _weight(weights))
-    plan = schedule(sizes).join(sizes.select("s", "s0", "blocks"), ["s", "s0"])
-    plan = plan.select("slot", "s", "s0", F.expr("k % blocks").alias("block"), F.expr("k div blocks").alias("epoch"))
-    return plan.join(b, ["s", "s0", "block"]).select("slot", F.expr("if(s0, null, s)").alias("source"), "block", "epoch", "n_tokens", "doc_ids", "text")
+    plan = schedule(sizes).select("slot", "s", "s0", F.expr("k % blocks").alias("block"), F.expr("k div blocks").alias("epoch"))
+    # the plan has a row for each block, so it is hashed by partition and never broadcast; the blocks already stand by these keys
+    return b.join(plan.hint("shuffle_hash"), ["s", "s0", "block"]).select("slot", F.expr("if(s0, null, s)").alias("source"), "block", "epoch", "n_tokens", "doc_ids", "text")
 
 
 def _weight(weights: dict[str, int] | None) -> Column:
