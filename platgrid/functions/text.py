@@ -1,10 +1,13 @@
-"""The grammar as Arrow functions on columns: whole batches cross to Python, one call for each text.
+"""The grammar as Arrow functions on columns: whole batches cross to Python, one call for each distinct text.
 
 Spark copies a deterministic function into every filter that it pushes below a projection and so would call it twice; those that cost most are
 declared nondeterministic, but for lateral joins, which ask for deterministic ones."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,30 +23,111 @@ _A_DESCRIPTION = pa.struct([("text", pa.string()), ("layout", pa.string()), ("tr
 _A_PARTS = pa.struct([("pp_desc", pa.string()), ("lots", pa.list_(pa.string())), ("qqs", pa.list_(pa.string())), ("aliquots_whole", pa.list_(pa.string())), ("lot_acres", pa.map_(pa.string(), pa.string())), ("w_flag_lines", _A_LINE)])
 
 
-def _lines(pairs: list[tuple[str, str]]) -> list[dict]:
-    return [{"flag": f, "context": c} for f, c in pairs]
+#: Bytes of texts and results that a Python worker keeps for each function and its options.
+KEPT = 64 << 20
+
+
+class Known:
+    """Results of a function of keys as one Arrow array: equal keys are worked out once, also over the batches and tasks of a worker.
+
+    No more than about KEPT bytes stay behind a batch; beyond that all are dropped and the next batch begins anew."""
+
+    def __init__(self, kind: pa.DataType):
+        self.kind = kind
+        self.drop()
+
+    def drop(self) -> None:
+        self.at: dict = {}
+        self.results, self.size = pa.array([], self.kind), 0
+
+    def of(self, keys: list, work) -> pa.Array:
+        """The results of keys, in their order; work gives the Arrow array of a list of keys."""
+        new = [k for k in dict.fromkeys(keys) if k not in self.at]
+        if new:
+            self.at.update(zip(new, range(len(self.results), len(self.results) + len(new))))
+            self.results = pa.concat_arrays([self.results, work(new)])
+            self.size += sum(200 + _length(k) for k in new)
+        out = self.results.take(pa.array(map(self.at.__getitem__, keys), pa.int64()))
+        if self.size + self.results.nbytes > KEPT:
+            self.drop()
+        return out
+
+
+def _length(key) -> int:
+    return len(key) if isinstance(key, str) else sum(map(_length, key)) if isinstance(key, tuple) else 0
+
+
+@lru_cache(8)
+def known(name: str, options: tuple) -> Known:
+    """What this process knows of a function; found again by its name, as functions are pickled anew for each task."""
+    return Known(_KINDS[name])
+
+
+def _keys(text: pa.Array, config: pa.Array) -> list:
+    """A text by itself, or with options of its own in a pair."""
+    texts = text.to_pylist()
+    return texts if config.null_count == len(config) else [t if c is None else (t, c) for t, c in zip(texts, config.to_pylist())]
+
+
+def _rows(keys: list, options: Options):
+    own: dict = {}
+    for k in keys:
+        t, c = k if isinstance(k, tuple) else (k, None)
+        if c is not None and c not in own:
+            own[c] = Options.parse(c, options)
+        yield t, options if c is None else own[c]
+
 
+def _list(rows: list, values) -> pa.Array:
+    """A list array of rows; values gives the Arrow array of all their elements."""
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, rows))], pa.int32()), values([x for row in rows for x in row]))
 
-def _rows(text: pa.Array, config: pa.Array | None, options: Options):
-    known: dict = {None: options}
-    for t, c in zip(text.to_pylist(), config.to_pylist() if config is not None else [None] * len(text)):
-        if c not in known:
-            known[c] = Options.parse(c, options)
-        yield t, known[c]
+
+def _struct(names: tuple | list, rows: list) -> pa.Array:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], list(names))
+
+
+def _strings(rows: list) -> pa.Array:
+    return _list(rows, lambda xs: pa.array(xs, pa.string()))
+
+
+def _lines(rows: list) -> pa.Array:
+    return _list(rows, lambda xs: _struct(("flag", "context"), xs))
+
+
+_NOTHING = {"text": None, "layout": None, "tracts": [], "w": [], "e": []}
+
+
+def _descriptions(keys: list, options: Options) -> pa.Array:
+    got = [_NOTHING if t is None else grammar.parse_description(t, o) for t, o in _rows(keys, options)]
+    places = [[(*grammar.parts(a, s), s, d) for a, s, d in p["tracts"]] for p in got]
+    columns = [
+        pa.array([p["text"] for p in got], pa.string()),
+        pa.array([p["layout"] for p in got], pa.string()),
+        _list(places, lambda xs: _struct(("twp", "rge", "sec", "sec_found", "desc"), xs)),
+        _lines([p["w"] for p in got]),
+        _lines([p["e"] for p in got]),
+    ]
+    return pa.StructArray.from_arrays(columns, fields=list(_A_DESCRIPTION), mask=pa.array([p is _NOTHING for p in got], pa.bool_()))
+
+
+def _parts(keys: list, options: Options) -> pa.Array:
+    got = [grammar.parse_tract(t or "", o.clean_qq, o.suppress_lot_divs, *o.depths(), o.break_halves) for t, o in _rows(keys, options)]
+    acres = pa.array([list(p["acres"].items()) for p in got], pa.map_(pa.string(), pa.string()))
+    columns = [pa.array([p["pp"] for p in got], pa.string()), *(_strings([p[n] for p in got]) for n in ("lots", "qqs", "whole")), acres, _lines([p["w"] for p in got])]
+    return pa.StructArray.from_arrays(columns, fields=list(_A_PARTS))
+
+
+_KINDS = {"description": _A_DESCRIPTION, "tract": _A_PARTS, "preprocess": pa.string(), "layout": pa.string(), "scrub": pa.string()}
+_KINDS |= {name: pa.list_(pa.string()) for name in ("twprge", "sec", "simplify", "subtract")}
 
 
 def description_udf(options: Options, lateral: bool = False):
     """The function of (text, config) behind parse_description."""
 
     def run(text: pa.Array, config: pa.Array) -> pa.Array:
-        out = []
-        for t, o in _rows(text, config, options):
-            if t is None:
-                out.append(None)
-                continue
-            p = grammar.parse_description(t, o)
-            out.append({"text": p["text"], "layout": p["layout"], "tracts": [dict(zip(("twp", "rge", "sec", "sec_found", "desc"), (*grammar.parts(a, s), s, d))) for a, s, d in p["tracts"]], "w_flag_lines": _lines(p["w"]), "e_flag_lines": _lines(p["e"])})
-        return pa.array(out, _A_DESCRIPTION)
+        return known("description", (options,)).of(_keys(text, config), lambda new: _descriptions(new, options))
 
     f = F.arrow_udf(run, DESCRIPTION)
     return f if lateral else f.asNondeterministic()
@@ -58,11 +142,7 @@ def tract_udf(options: Options, lateral: bool = False):
     """The function of (text, config) behind parse_tract."""
 
     def run(text: pa.Array, config: pa.Array) -> pa.Array:
-        out = []
-        for t, o in _rows(text, config, options):
-            p = grammar.parse_tract(t or "", o.clean_qq, o.suppress_lot_divs, *o.depths(), o.break_halves)
-            out.append({"pp_desc": p["pp"], "lots": p["lots"], "qqs": p["qqs"], "aliquots_whole": p["whole"], "lot_acres": list(p["acres"].items()), "w_flag_lines": _lines(p["w"])})
-        return pa.array(out, _A_PARTS)
+        return known("tract", (options,)).of(_keys(text, config), lambda new: _parts(new, options))
 
     f = F.arrow_udf(run, PARTS)
     return f if lateral else f.asNondeterministic()
@@ -73,31 +153,33 @@ def parse_tract(text: Column | str, options: Options = Options(), config: Column
     return tract_udf(options)(text, F.lit(None).cast("string") if config is None else config)
 
 
-def _text_udf(f, kind: str, arrow: pa.DataType):
+def _text_udf(name: str, f, kind: str, *options):
+    """f on each text; options are all that its results depend on beside the text."""
+
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else f(t) for t in text.to_pylist()], arrow)
+        return known(name, options).of(text.to_pylist(), lambda new: pa.array([None if t is None else f(t) for t in new], _KINDS[name]))
 
     return F.arrow_udf(run, kind)
 
 
 def preprocess(text: Column | str, options: Options = Options()) -> Column:
-    return _text_udf(lambda t: grammar.preprocess(t, options)[0], "string", pa.string())(text)
+    return _text_udf("preprocess", lambda t: grammar.preprocess(t, options)[0], "string", options)(text)
 
 
 def deduce_layout(text: Column | str, options: Options = Options()) -> Column:
-    return _text_udf(lambda t: grammar.deduce_layout(grammar.preprocess(t, options)[0]), "string", pa.string())(text)
+    return _text_udf("layout", lambda t: grammar.deduce_layout(grammar.preprocess(t, options)[0]), "string", options)(text)
 
 
 def find_twprge(text: Column | str, options: Options = Options(), pre: bool = False) -> Column:
-    return _text_udf(lambda t: grammar.find_twprge(t, options, pre), "array<string>", pa.list_(pa.string()))(text)
+    return _text_udf("twprge", lambda t: grammar.find_twprge(t, options, pre), "array<string>", options, pre)(text)
 
 
 def find_sec(text: Column | str) -> Column:
-    return _text_udf(grammar.find_sec, "array<string>", pa.list_(pa.string()))(text)
+    return _text_udf("sec", grammar.find_sec, "array<string>")(text)
 
 
 def scrub_aliquots(text: Column | str, clean_qq: bool = False) -> Column:
-    return _text_udf(lambda t: grammar.scrub(t, clean_qq), "string", pa.string())(text)
+    return _text_udf("scrub", lambda t: grammar.scrub(t, clean_qq), "string", clean_qq)(text)
 
 
 def simplify_aliquots(qqs: Column | str, assume_standard: Column | bool = False) -> Column:
