@@ -182,27 +182,38 @@ def scrub_aliquots(text: Column | str, clean_qq: bool = False) -> Column:
     return _text_udf("scrub", lambda t: grammar.scrub(t, clean_qq), "string", clean_qq)(text)
 
 
+def _tuples(lists: pa.Array) -> list[tuple]:
+    """Lists of strings as tuples, null as the empty one; each string of the batch becomes Python's once."""
+    coded = lists.values.dictionary_encode()
+    names = [*coded.dictionary.to_pylist(), None]
+    flat = [names[i] for i in coded.indices.fill_null(len(names) - 1).to_numpy().tolist()]
+    at = lists.offsets.to_numpy().tolist()
+    out = [tuple(flat[a:b]) for a, b in zip(at, at[1:])]
+    return out if not lists.null_count else [x if there else () for x, there in zip(out, lists.is_valid().to_pylist())]
+
+
 def simplify_aliquots(qqs: Column | str, assume_standard: Column | bool = False) -> Column:
-    """The fewest and largest aliquots of the same land; equal arrays of a batch are simplified once."""
+    """The fewest and largest aliquots of the same land; equal arrays are simplified once."""
 
     def run(qqs: pa.Array, standard: pa.Array) -> pa.Array:
-        known: dict = {}
-        out = []
-        for q, s in zip(qqs.to_pylist(), standard.to_pylist()):
-            key = (tuple(sorted(set(q or []))), bool(s))
-            if key not in known:
-                known[key] = aliquots.simplify(list(key[0]), key[1])
-            out.append(known[key])
-        return pa.array(out, pa.list_(pa.string()))
+        keys = list(zip(_tuples(qqs), standard.to_pylist()))
+        return known("simplify", ()).of(keys, lambda new: _strings([aliquots.simplify(sorted(set(q)), bool(s)) for q, s in new]))
 
     return F.arrow_udf(run, "array<string>")(qqs, F.lit(assume_standard) if isinstance(assume_standard, bool) else assume_standard)
 
 
-def subtract_aliquots(qqs: Column | str, gone: Column | str) -> Column:
+def subtract_udf():
+    """The function of (qqs, gone) behind subtract_aliquots."""
+
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([aliquots.subtract(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.list_(pa.string()))
+        return known("subtract", ()).of(list(zip(_tuples(a), _tuples(b))), lambda new: _strings([aliquots.subtract(x, y) for x, y in new]))
 
-    return F.arrow_udf(run, "array<string>")(qqs, gone)
+    return F.arrow_udf(run, "array<string>")
+
+
+def subtract_aliquots(qqs: Column | str, gone: Column | str) -> Column:
+    """The land of qqs without that of gone; equal pairs are worked out once."""
+    return subtract_udf()(qqs, gone)
 
 
 def lot_numbers(lots: Column | str) -> Column:

@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from platgrid.functions import grammar
+from platgrid.functions import aliquots, grammar
 from platgrid.functions import text as tx
 from platgrid.operators import parse
 from platgrid.plans import Options
@@ -18,7 +18,7 @@ def test_spread_by_rows(spark, monkeypatch):
     assert parse.spread(spark.range(10)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
-def test_equal_texts_are_parsed_once(monkeypatch):
+def test_equal_texts_are_parsed_once(spark, monkeypatch):
     calls, f = [], grammar.parse_description
     monkeypatch.setattr(grammar, "parse_description", lambda t, o: calls.append(t) or f(t, o))
     tx.known.cache_clear()
@@ -39,3 +39,15 @@ def test_what_is_known_is_bounded(monkeypatch):
         got = known.of(keys, lambda new: pa.array([[x, x] for x in new], pa.list_(pa.string())))
         assert got.to_pylist() == [[x, x] for x in keys]
         assert known.size + known.results.nbytes <= 10000 and len(known.at) == len(known.results)
+
+
+def test_equal_subtractions_are_made_once(spark, monkeypatch):
+    calls, f = [], aliquots.subtract
+    monkeypatch.setattr(aliquots, "subtract", lambda a, b: calls.append((a, b)) or f(a, b))
+    tx.known.cache_clear()
+    run, kind = tx.subtract_udf().func, pa.list_(pa.string())
+    # slices, so that offsets do not begin at 0
+    a = pa.array([["x"], ["NE", "NW"], None, ["ALL"], ["NE", "NW"], []], kind)[1:]
+    b = pa.array([["x"], ["NE"], ["NE"], ["N2"], ["NE"], None], kind)[1:]
+    want = [["NW"], [], ["S2"], ["NW"], []]
+    assert run(a, b).to_pylist() == want and run(a, b).to_pylist() == want and len(calls) == 4
