@@ -22,14 +22,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(cores, -(-df.count() // ROWS_A_TASK)))
 
 
-def tracts(descriptions: DataFrame, options: Options | None = None, text_col: str = "text", config_col: str | None = None, orig_desc: bool = False) -> DataFrame:
+def tracts(descriptions: DataFrame, options: Options | None = None, text_col: str = "text", config_col: str | None = None, orig_desc: bool = False, outer: bool = False) -> DataFrame:
     """A row for each tract of each description, in order of orig_index; other columns of the description stay, as does a column source.
 
-    Descriptions without a text give no tract. With parse_qq, the columns of tract_parts are added, with orig_desc the description's text."""
+    Descriptions without a text give no tract; with outer they give one row without orig_index. With parse_qq, the columns of tract_parts are added, with orig_desc the description's text."""
     options = options or Options.default()
     keep = [c for c in descriptions.columns if c != text_col]
-    p = descriptions.where(F.col(text_col).isNotNull()).withColumn("_p", text.parse_description(text_col, options, config_col))
-    rows = p.select(*keep, *([F.col(text_col).alias("orig_desc")] if orig_desc else []), "_p", F.posexplode("_p.tracts").alias("orig_index", "_t"))
+    p = (descriptions if outer else descriptions.where(F.col(text_col).isNotNull())).withColumn("_p", text.parse_description(text_col, options, config_col))
+    rows = p.select(*keep, *([F.col(text_col).alias("orig_desc")] if orig_desc else []), "_p", (F.posexplode_outer if outer else F.posexplode)("_p.tracts").alias("orig_index", "_t"))
     fields = fields_of(F.col("_t.twp"), F.col("_t.rge"), F.col("_t.sec"))
     flags = lambda name: F.col(f"_p.{name}_flag_lines.flag")
     out = rows.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,6 +148,34 @@ class TractWriter:
         return seen.get["n"]
 
 
+def _number(batches):
+    """Batches with the row's number in its file; a task reads its files one after the other and whole."""
+    file, n = None, 0
+    for batch in batches:
+        runs = pc.run_end_encode(batch.column("file"))
+        numbers, at = [], 0
+        for f, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            file, n = f, n if f == file else 0
+            numbers += range(n + 1, n + 1 + end - at)
+            n, at = n + end - at, end
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], names=[*batch.schema.names, "row"])
+
+
+#: Bytes of CSV that a task is given to parse; some 100,000 short descriptions.
+BYTES_A_TASK = 8 << 20
+
+
+def _head(raw: DataFrame, row: int):
+    """That row of the first of the files by name, from this file alone; None if it has not so many."""
+    path = raw.sparkSession._jvm.org.apache.hadoop.fs.Path
+    uri = raw.sparkSession._jvm.java.net.URI
+    first = min((path(uri(f)).toString() for f in raw.inputFiles()), default=None)
+    if first is None or row < 1:
+        return None
+    got = raw.where(F.col("_metadata.file_path") == first).limit(row).collect()
+    return got[-1] if len(got) == row else None
+
+
 def parse_csv_rows(
     spark: SparkSession,
     path: str,
@@ -168,16 +198,16 @@ def parse_csv_rows(
     Rows and columns count from 1; columns may also be named, if there is a header_row, which is no row of the result. Rows outside first_row ..
     last_row, and those without a description, stay as they are (include_unparsed). The file's own cells stand in the first row of a description alone,
     or in each (copy_data). With unpack lists are joined, without it they are written as JSON. Columns row and orig_index give the order; file the file.
-    A file is read by one task, as quoted cells may hold line feeds."""
+    A file is read and its rows are numbered by one task, as quoted cells may hold line feeds; parsed they are by as many as its bytes ask for."""
     if isinstance(desc_col, int) and desc_col < 1:
         raise ValueError(f"columns count from 1: {desc_col}")
     raw = spark.read.csv(path, multiLine=True, escape='"')
-    cells = raw.columns
-    raw = raw.select(*cells, F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_id"))
-    rows = raw.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("_id"))).drop("_id")
+    cells, size = raw.columns, int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    raw = raw.select(*cells, F.col("_metadata.file_path").alias("file"))
+    rows = raw.mapInArrow(_number, T.StructType([*raw.schema, T.StructField("row", T.IntegerType())]))
     names = list(cells)
     if header_row is not None:
-        head = rows.where(F.col("row") == header_row).orderBy("file").first()
+        head = _head(raw, header_row) or rows.where(F.col("row") == header_row).orderBy("file").first()
         names = [(head[c] if head and head[c] else c) for c in cells]
         names = [n if names.index(n) == k else f"{n}_{k + 1}" for k, n in enumerate(names)]
         rows = rows.where(F.col("row") != header_row)
@@ -192,25 +222,26 @@ def parse_csv_rows(
         own = F.concat_ws(",", own, F.when(F.trim(column(layout_col)).isin(*LAYOUTS), F.concat(F.lit("layout."), F.trim(column(layout_col)))))
     inside = (F.col("row") >= first_row) & (F.lit(True) if last_row is None else F.col("row") <= last_row)
     inside = F.coalesce(inside & (F.trim(column(desc_col)) != ""), F.lit(False))
-    todo = rows.where(inside).select(F.struct("*").alias("_cells"), column(desc_col).alias("_text"), own.alias("_config"))
+    # a file's rows are read and numbered by one task, but not parsed
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-size // BYTES_A_TASK)), "file", "row")
+    # rows that are not parsed go along without a text, so that the files are read once
+    todo = (rows if include_unparsed else rows.where(inside)).select(F.struct("*").alias("_cells"), F.when(inside, column(desc_col)).alias("_text"), F.when(inside, own).alias("_config"), inside.alias("_in"))
     if tract_level:
-        done = tract_parts(todo.withColumn("orig_index", F.lit(0)).withColumn("desc", F.col("_text")), base, "desc", "_config")
+        done = tract_parts(todo.withColumn("orig_index", F.when(F.col("_in"), 0)).withColumn("desc", F.col("_text")), base, "desc", "_config")
     else:
-        done = tracts(todo, base, "_text", "_config")
+        done = tracts(todo, base, "_text", "_config", outer=include_unparsed)
         if not base.parse_qq and any(a in ("lots", "qqs", "lots_qqs", "lot_acres", "pp_desc", "aliquots_whole") for a in attributes):
             done = tract_parts(done, base, "desc", "_config")
     cell = lambda n: stringify(done, n) if unpack or n not in done.columns or not isinstance(done.schema[n].dataType, (T.ArrayType, T.MapType)) else F.to_json(n)
-    kept = [(F.col(f"_cells.`{c}`") if copy_data else F.when(F.col("orig_index") == 0, F.col(f"_cells.`{c}`"))).alias(c) for c in cells]
+    kept = [(F.col(f"_cells.`{c}`") if copy_data else F.when((F.col("orig_index") == 0) | ~F.col("_in"), F.col(f"_cells.`{c}`"))).alias(c) for c in cells]
     if include_uid:
         w = Window.partitionBy("_cells.file", "_cells.row")
         done = done.withColumns({"_total": F.count("*").over(w), "_sub": F.row_number().over(w.orderBy("orig_index"))})
         number = rows.where(inside).select("file", "row").withColumn("_no", F.row_number().over(Window.partitionBy("file").orderBy("row")))
-        done = done.join(number, (F.col("_cells.file") == number["file"]) & (F.col("_cells.row") == number["row"])).drop("file", "row")
+        done = done.join(number, (F.col("_cells.file") == number["file"]) & (F.col("_cells.row") == number["row"]), "left").drop("file", "row")
         done = done.withColumn("UID", gen_uid(F.col("_no"), F.col("_sub"), F.col("_total")))
     uid = ["UID"] if include_uid else []
-    out = done.select(F.col("_cells.file").alias("file"), F.col("_cells.row").alias("row"), "orig_index", *kept, *[cell(a).alias(f"_a{k}") for k, a in enumerate(attributes)], *uid)
-    if include_unparsed:
-        out = out.unionByName(rows.where(~inside), allowMissingColumns=True)
+    out = done.select(F.col("_cells.file").alias("file"), F.col("_cells.row").alias("row"), "orig_index", *kept, *[F.when(F.col("_in"), cell(a)).alias(f"_a{k}") for k, a in enumerate(attributes)], *uid)
     return out.toDF("file", "row", "orig_index", *names, *attributes, *uid)
 
 

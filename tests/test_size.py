@@ -7,6 +7,7 @@ from platgrid.functions import aliquots, grammar
 from platgrid.functions import text as tx
 from platgrid.operators import parse
 from platgrid.plans import Options
+from platgrid.sources import csvfiles
 
 
 def test_spread_by_rows(spark, monkeypatch):
@@ -51,3 +52,27 @@ def test_equal_subtractions_are_made_once(spark, monkeypatch):
     b = pa.array([["x"], ["NE"], ["NE"], ["N2"], ["NE"], None], kind)[1:]
     want = [["NW"], [], ["S2"], ["NW"], []]
     assert run(a, b).to_pylist() == want and run(a, b).to_pylist() == want and len(calls) == 4
+
+
+def scans(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Scan ")
+
+
+def test_csv_is_read_once_and_parsed_by_many(spark, tmp_path, monkeypatch):
+    texts = [f'{k},"T{k % 9 + 1}N-R2W\nSec {k % 36 + 1}: NE/4"' if k % 3 else f"{k}," for k in range(1, 25001)]
+    (tmp_path / "long.csv").write_text("\n".join(["no,text", *texts]))
+    (tmp_path / "short.csv").write_text("no,text\n1,T1N-R2W Sec 3: SW/4\n")
+    monkeypatch.setattr(csvfiles, "BYTES_A_TASK", 20000)
+    df = csvfiles.parse_csv_rows(spark, str(tmp_path), 2, ["trs"], header_row=1)
+    assert scans(df) == 1 and df.columns == ["file", "row", "orig_index", "no", "text", "trs"]
+    got = df.withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got if "long" in r.file}) > 20
+    # more rows than a batch holds, and a file behind another one
+    assert sorted((r.row, r.no, r.trs) for r in got if "long" in r.file) == [(k + 1, str(k), f"{k % 9 + 1}n2w{k % 36 + 1:02d}" if k % 3 else None) for k in range(1, 25001)]
+    assert [(r.row, r.orig_index, r.no, r.trs) for r in got if "short" in r.file] == [(2, 0, "1", "1n2w03")]
+
+
+def test_rows_are_numbered_by_file():
+    files = [["a", "a"], ["a", "b"], [], ["b", "c", "d"], ["d"]]
+    batches = (pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["file"]) for x in files)
+    assert [b.column("row").to_pylist() for b in csvfiles._number(batches)] == [[1, 2], [3, 1], [], [2, 1, 1], [2]]
