@@ -48,11 +48,17 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.spread(k).selectExpr(*_KEYS.split(", "))
 
 
-def texts(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
-    """(k, text): {t}, {r}, {s} and the like in pattern stand for the numbers of the key; {s+2} for one more than s + 1."""
-    parts = [x for x in re.split(r"(\{[^}]*\})", pattern) if x]
-    cols = [F.expr(f"cast({x[1:-1]} as string)") if x[0] == "{" else F.lit(x) for x in parts]
-    return keys(spark, sf_dir).select("*", F.concat(*cols).alias("text"))
+def texts(spark: SparkSession, sf_dir: str, *patterns: str) -> DataFrame:
+    """(k, text): {t}, {r}, {s} and the like in a pattern stand for the numbers of the key; {s+2} for one more than s + 1. Keys take turns with the patterns, in one pass."""
+
+    def text(pattern: str):
+        parts = [x for x in re.split(r"(\{[^}]*\})", pattern) if x]
+        return F.concat(*[F.expr(f"cast({x[1:-1]} as string)") if x[0] == "{" else F.lit(x) for x in parts])
+
+    out = text(patterns[-1])
+    for i in range(len(patterns) - 2, -1, -1):
+        out = F.when(F.col("k") % len(patterns) == i, text(patterns[i])).otherwise(out)
+    return keys(spark, sf_dir).select("*", out.alias("text"))
 
 
 def _tracts(spark, sf_dir, pattern, config="", extra=()):
@@ -114,21 +120,13 @@ _SPELLINGS = ["Township {t} North, Range {r} West Sec {s}: NE/4", "T{t}N-R{r}W S
 @query("plss_preprocess", f"{_D} SELECT k, 'T' || t || 'N-R' || r || 'W Sec ' || s || ': NE/4' AS pp FROM d")
 def plss_preprocess(spark, sf_dir):
     """Six spellings, by key, become one."""
-    cases = [texts(spark, sf_dir, p).where(F.col("k") % len(_SPELLINGS) == i) for i, p in enumerate(_SPELLINGS)]
-    out = cases[0]
-    for c in cases[1:]:
-        out = out.unionByName(c)
-    return out.select("k", tx.preprocess("text").alias("pp"))
+    return texts(spark, sf_dir, *_SPELLINGS).select("k", tx.preprocess("text").alias("pp"))
 
 
 @query("plss_layout", f"{_D} SELECT k, ['TRS_desc', 'S_desc_TR', 'desc_STR', 'TR_desc_S', 'copy_all'][k % 5 + 1] AS layout FROM d")
 def plss_layout(spark, sf_dir):
     forms = ["T{t}N-R{r}W Sec {s}: NE/4", "Sec {s}: NE/4 of T{t}N-R{r}W", "NE/4 of Sec {s}, T{t}N-R{r}W", "T{t}N-R{r}W NE/4 of Sec {s}", "T{t}N-R{r}W"]
-    cases = [texts(spark, sf_dir, p).where(F.col("k") % 5 == i) for i, p in enumerate(forms)]
-    out = cases[0]
-    for c in cases[1:]:
-        out = out.unionByName(c)
-    return out.select("k", tx.deduce_layout("text").alias("layout"))
+    return texts(spark, sf_dir, *forms).select("k", tx.deduce_layout("text").alias("layout"))
 
 
 @query("default_nsew", f"{_D} SELECT k, 0 AS orig_index, CAST(t AS VARCHAR) || 's' || CAST(r AS VARCHAR) || 'e' || {_SEC.format('s')} AS trs, 'NE/4' AS desc FROM d")
@@ -158,17 +156,16 @@ def sec_colon_required(spark, sf_dir):
 
 @query("flags_by_kind", f"{_D} SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN k % 2 = 0 THEN ['multisec_found', 'less_except'] ELSE ['fixed_twprge', 'including'] END) AS kind FROM d) GROUP BY kind")
 def flags_by_kind(spark, sf_dir):
-    a = texts(spark, sf_dir, "T{t}N-R{r}W Sec {s} - {s+2}: NE/4 less and except the road").where("k % 2 = 0")
-    b = texts(spark, sf_dir, "T{t}-R{r} Sec {s}: NE/4 including the road").where("k % 2 = 1")
-    p = a.unionByName(b).select(tx.parse_description("text").alias("p"))
+    d = texts(spark, sf_dir, "T{t}N-R{r}W Sec {s} - {s+2}: NE/4 less and except the road", "T{t}-R{r} Sec {s}: NE/4 including the road")
+    p = d.select(tx.parse_description("text").alias("p"))
     return p.select(F.explode("p.w_flag_lines.flag").alias("f")).groupBy(F.regexp_extract("f", "^[a-z_]+", 0).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("error_desc_rate", f"{_D} SELECT count(*) AS descriptions, count(*) FILTER (WHERE k % 3 = 0) AS flawed FROM d")
 def error_desc_rate(spark, sf_dir):
-    a = texts(spark, sf_dir, "Sec {s}: W/2, T{t}N-R{r}W Sec {s2}: NE/4, Sec {s}: S/2").where("k % 3 = 0")
-    b = texts(spark, sf_dir, "T{t}N-R{r}W Sec {s}: NE/4").where("k % 3 > 0")
-    p = a.unionByName(b).select((F.size(tx.parse_description("text")["e_flag_lines"]) > 0).cast("bigint").alias("f"))
+    good = "T{t}N-R{r}W Sec {s}: NE/4"
+    d = texts(spark, sf_dir, "Sec {s}: W/2, T{t}N-R{r}W Sec {s2}: NE/4, Sec {s}: S/2", good, good)
+    p = d.select((F.size(tx.parse_description("text")["e_flag_lines"]) > 0).cast("bigint").alias("f"))
     return p.agg(F.count("*").alias("descriptions"), F.sum("f").alias("flawed"))
 
 

@@ -1,14 +1,20 @@
 """What must not grow with the input: the rows of a task, the work for equal texts, the memory of a worker."""
 
+import os
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from platgrid import catalog
 from platgrid.functions import aliquots, grammar
 from platgrid.functions import text as tx
 from platgrid.operators import parse
 from platgrid.plans import Options
 from platgrid.sources import csvfiles
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_spread_by_rows(spark, monkeypatch):
     monkeypatch.setattr(parse, "ROWS_A_TASK", 1000)
@@ -76,3 +82,9 @@ def test_rows_are_numbered_by_file():
     files = [["a", "a"], ["a", "b"], [], ["b", "c", "d"], ["d"]]
     batches = (pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["file"]) for x in files)
     assert [b.column("row").to_pylist() for b in csvfiles._number(batches)] == [[1, 2], [3, 1], [], [2, 1, 1], [2]]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["error_desc_rate", "flags_by_kind", "plss_preprocess", "plss_layout"])
+def test_several_patterns_take_one_pass(spark, name):
+    assert scans(catalog.QUERIES[name](spark, SF)) == 1
